@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sieveline.llm.lines import LINE_SQL, dedup_lines
 from sieveline.llm.sharding import assign_shards
-from sieveline.session import read_table
+from sieveline.llm.token_files import token_index, write_tokens
+from sieveline.llm.tokens import tokenizer_path
+from sieveline.session import read_table, table_path
 
 SHARDS = 16
 
@@ -17,9 +21,24 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(read_table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the later occurrences of repeated three-line windows: counts and a digest of the text."""
+    found = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return found.select("doc_id", "n_lines", "n_removed", digest)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids in Parquet files with dictionary pages, read back."""
+    out = table_path(spark, "token-files")
+    docs = read_table(spark, sf_dir, "documents")
+    write_tokens(docs, out, tokenizer_path("byte_bpe_50k.json"), spaced=True, end_id=2)
+    return token_index(spark, out)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding,)}
+    return {f.__name__: f for f in (op2_sharding, op4_line_dedup, op7_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": LINE_SQL}
