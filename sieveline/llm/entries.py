@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm.lines import LINE_SQL, dedup_lines
+from sieveline.llm.packing import pack_documents
+from sieveline.llm.quality import judge_quality
 from sieveline.llm.sharding import assign_shards
 from sieveline.llm.token_files import token_index, write_tokens
 from sieveline.llm.tokens import tokenizer_path
@@ -36,8 +38,21 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(spark, out)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics and verdicts for all documents; the forest's threshold comes from ``labels``."""
+    found = judge_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    return found.select("doc_id", *names)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 2048 tokens."""
+    docs = read_table(spark, sf_dir, "documents")
+    return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op4_line_dedup, op7_token_files)}
+    return {f.__name__: f for f in (op2_sharding, op4_line_dedup, op7_token_files, op8_quality_rules, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -89,3 +89,17 @@ class UnitEncoder:
         if len(self.cache) <= CACHE_UNITS:
             self.cache.update((u, x) for u, x in found.items() if len(u) <= UNIT_CHARS)
         return out
+
+    def unit_ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[bytes]]:
+        """The texts as numbers of units, and each unit's ids; only for vocabularies that drop white space."""
+        number: dict[str, int] = {}
+        add = number.setdefault
+        docs = [np.asarray([add(u, len(number)) for u in self._units(t) if u], dtype=np.int64) for t in texts]
+        units = list(number)
+        found: dict[str, bytes] = {}
+        self._learn({u for u in units if u not in self.cache}, found)
+        known = self.cache.get
+        ids = [x if (x := known(u)) is not None else found[u] for u in units]
+        if len(self.cache) <= CACHE_UNITS:
+            self.cache.update((u, x) for u, x in found.items() if len(u) <= UNIT_CHARS)
+        return docs, ids
