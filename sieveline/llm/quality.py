@@ -2,7 +2,9 @@
 
 Two plain rules reject a text outright.  The rest is judged by an isolation forest (Liu, Ting and Zhou, 2008): random
 splits over the statistics of a bounded sample part rare rows from the others in few steps, so a short mean path
-marks an anomaly.  The score at which a row goes is calibrated on all labelled rows.
+marks an anomaly.  One forest is grown over all statistics and one over each alone: an anomaly in a statistic that
+has nothing to do with quality (a long list of numbers, say) must not cost a good text its place.  All labelled rows
+decide which forest judges, and at which score a row goes.
 """
 
 from __future__ import annotations
@@ -119,9 +121,13 @@ class IsolationForest:
     left: np.ndarray
     path: np.ndarray
     scale: float
+    columns: list[int]
 
     @classmethod
-    def fit(cls, rows: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 7) -> IsolationForest:
+    def fit(
+        cls, rows: np.ndarray, columns: list[int], trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 7
+    ) -> IsolationForest:
+        rows = rows[:, columns]
         rng = np.random.default_rng(seed)
         size = min(tree_rows, len(rows))
         depth = int(np.ceil(np.log2(max(size, 2))))
@@ -147,11 +153,17 @@ class IsolationForest:
         width = max(map(len, grown))
         flat = np.asarray([x + [[-1, 0, 0, 0]] * (width - len(x)) for x in grown])
         return cls(
-            flat[:, :, 0].astype(int), flat[:, :, 1], flat[:, :, 2].astype(int), flat[:, :, 3], float(_mean_path(size))
+            flat[:, :, 0].astype(int),
+            flat[:, :, 1],
+            flat[:, :, 2].astype(int),
+            flat[:, :, 3],
+            float(_mean_path(size)),
+            columns,
         )
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """2 ** (-mean path / scale): near 1 for rows that stand alone, below 0.5 for common ones."""
+        rows = rows[:, self.columns]
         n, trees = len(rows), len(self.feature)
         total = np.zeros(n)
         every = np.arange(n)
@@ -169,8 +181,8 @@ class IsolationForest:
         return np.round(2.0 ** (-total / max(trees, 1) / max(self.scale, 1e-9)), 9)
 
 
-def threshold_from(counts: list[tuple[int, int, int]], good_loss: float = GOOD_LOSS) -> float:
-    """The lowest score bin that rejects, from (bin, quality, rows); above 1 if labels give no reason to reject.
+def threshold_from(counts: list[tuple[int, int, int]], good_loss: float = GOOD_LOSS) -> tuple[float, int]:
+    """The score that rejects, and the bad rows it rejects, from (bin, quality, rows); above 1 if labels give none.
 
     Among the bins that reject at most ``good_loss`` of the good rows, the one that rejects most bad ones; of those
     that reject as many, the middle between the lowest and the highest, to stay away from either side.
@@ -181,10 +193,10 @@ def threshold_from(counts: list[tuple[int, int, int]], good_loss: float = GOOD_L
     over_good, over_bad = np.cumsum(good[::-1])[::-1], np.cumsum(bad[::-1])[::-1]
     allowed = np.flatnonzero(over_good <= good_loss * good.sum())
     if not bad.sum() or not good.sum() or not over_bad[allowed].max():
-        return 2.0
+        return 2.0, 0
     best = allowed[over_bad[allowed] == over_bad[allowed].max()]
     run = best[: int(np.argmax(np.diff(best, append=best[-1] + 2) > 1)) + 1]
-    return float((run[0] + run[-1]) // 2) / BINS
+    return float((run[0] + run[-1]) // 2) / BINS, int(over_bad[run[0]])
 
 
 @dataclass
@@ -226,7 +238,9 @@ def _as_stats(batch: pa.RecordBatch) -> np.ndarray:
 def fit_quality(
     stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", sample_rows: int = SAMPLE_ROWS
 ) -> QualityModel:
-    """Fit the forest on ``sample_rows`` rows that pass the rules, calibrate on every labelled row that passes.
+    """Fit forests on ``sample_rows`` rows that pass the rules, choose and calibrate on every labelled row that passes.
+
+    The forest that rejects most bad labelled rows judges; of equal ones the first, which has all statistics.
 
     ``labels`` has the key and a label: 1 good, 0 bad; others and nulls are left out.  Without labelled rows of both
     kinds, or rows to fit on, the model rejects by the rules alone.
@@ -236,19 +250,24 @@ def fit_quality(
     rows = passed.orderBy(F.xxhash64(F.lit("forest"), F.col(key)), *STATS).limit(sample_rows).select(*STATS).collect()
     if not rows:
         return QualityModel(None, 2.0)
-    forest = IsolationForest.fit(features(np.asarray([tuple(r) for r in rows], dtype=np.int64)))
+    sample = features(np.asarray([tuple(r) for r in rows], dtype=np.int64))
+    every = list(range(sample.shape[1]))
+    forests = [IsolationForest.fit(sample, columns) for columns in ([every] + [[i] for i in every])]
     marked = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_q"))
     labelled = passed.join(marked, F.col(key) == F.col("_k")).select("_q", *STATS)
 
-    def make() -> Callable[[pa.RecordBatch], dict]:
-        def score(batch: pa.RecordBatch) -> dict:
-            bins = np.floor(forest.score(features(_as_stats(batch))) * BINS).astype(int)
-            return {"bin": bins, "q": values(batch, "_q")}
+    def make() -> Callable[[pa.RecordBatch], list[dict]]:
+        def score(batch: pa.RecordBatch) -> list[dict]:
+            found, quality = features(_as_stats(batch)), values(batch, "_q")
+            bins = [np.floor(f.score(found) * BINS).astype(int) for f in forests]
+            return [{"forest": np.full(len(b), i), "bin": b, "q": quality} for i, b in enumerate(bins)]
 
         return score
 
-    counts = map_batches(labelled, make, "bin int, q int").groupBy("bin", "q").count().collect()
-    return QualityModel(forest, threshold_from([tuple(r) for r in counts]))
+    counts = map_batches(labelled, make, "forest int, bin int, q int").groupBy("forest", "bin", "q").count().collect()
+    of = [threshold_from([(r[1], r[2], r[3]) for r in counts if r[0] == i]) for i in range(len(forests))]
+    best = max(range(len(forests)), key=lambda i: (of[i][1], -i))
+    return QualityModel(forests[best], of[best][0])
 
 
 def judge_quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -291,5 +310,7 @@ def filter_quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 def model_json(model: QualityModel) -> str:
     """The model as text, to keep beside its results."""
     f = model.forest
-    parts = {} if f is None else {k: getattr(f, k).tolist() for k in ("feature", "value", "left", "path")} | {"scale": f.scale}
+    parts: dict[str, object] = {} if f is None else {k: getattr(f, k).tolist() for k in ("feature", "value", "left", "path")}
+    if f is not None:
+        parts |= {"scale": f.scale, "columns": f.columns}
     return json.dumps(parts | {"threshold": model.threshold})
