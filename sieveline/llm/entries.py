@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.llm.decontaminate import find_leaks
 from sieveline.llm.lines import LINE_SQL, dedup_lines
+from sieveline.llm.minhash import near_duplicates
 from sieveline.llm.packing import pack_documents
 from sieveline.llm.quality import judge_quality
 from sieveline.llm.sharding import assign_shards
@@ -30,6 +32,26 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", digest)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents inside eight-word windows of benchmark items."""
+    found = find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["first"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (F.size("items") >= 2).alias("contaminated"),
+    )
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents at a similarity of 0.8 of their two-word shingles."""
+    found = near_duplicates(read_table(spark, sf_dir, "documents"), size=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token ids in Parquet files with dictionary pages, read back."""
     out = table_path(spark, "token-files")
@@ -52,7 +74,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op4_line_dedup, op7_token_files, op8_quality_rules, op10_packing)}
+    return {f.__name__: f for f in (op2_sharding, op4_line_dedup, op5_decontamination, op6_near_dedup, op7_token_files, op8_quality_rules, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
