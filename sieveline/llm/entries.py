@@ -13,6 +13,7 @@ from sieveline.llm.minhash import near_duplicates
 from sieveline.llm.packing import pack_documents
 from sieveline.llm.quality import judge_quality
 from sieveline.llm.sharding import assign_shards
+from sieveline.llm.substring import remove_repeats
 from sieveline.llm.token_files import token_index, write_tokens
 from sieveline.llm.tokens import tokenizer_path
 from sieveline.session import read_table, table_path
@@ -67,6 +68,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *names)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of repeated 35-word windows."""
+    found = remove_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 2048 tokens."""
     docs = read_table(spark, sf_dir, "documents")
@@ -74,7 +81,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op4_line_dedup, op5_decontamination, op6_near_dedup, op7_token_files, op8_quality_rules, op10_packing)}
+    return {f.__name__: f for f in (op2_sharding, op4_line_dedup, op5_decontamination, op6_near_dedup, op7_token_files, op8_quality_rules, op9_substring_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
