@@ -12,20 +12,35 @@ from sieveline.llm.lines import LINE_SQL, dedup_lines
 from sieveline.llm.minhash import near_duplicates
 from sieveline.llm.packing import pack_documents
 from sieveline.llm.quality import judge_quality
+from sieveline.llm.secrets import scan_secrets
 from sieveline.llm.sharding import assign_shards
 from sieveline.llm.substring import remove_repeats
 from sieveline.llm.token_files import token_index, write_tokens
 from sieveline.llm.tokens import tokenizer_path
+from sieveline.llm.wrappers import extract_pages
 from sieveline.session import read_table, table_path
 
 SHARDS = 16
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret candidates of all documents with the forest's verdict; secrets as digests."""
+    found = scan_secrets(read_table(spark, sf_dir, "documents"), path="source")
+    return found.select(
+        "doc_id", "word_at", F.sha2("candidate", 256).alias("secret_sha256"), "length", "score", "is_secret"
+    )
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 16 shards by jump consistent hashing of doc_id."""
     return assign_shards(read_table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page by its host's wrapper."""
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the later occurrences of repeated three-line windows: counts and a digest of the text."""
     found = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -81,7 +96,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op4_line_dedup, op5_decontamination, op6_near_dedup, op7_token_files, op8_quality_rules, op9_substring_dedup, op10_packing)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_secret_scan,
+            op2_sharding,
+            op3_html_extraction,
+            op4_line_dedup,
+            op5_decontamination,
+            op6_near_dedup,
+            op7_token_files,
+            op8_quality_rules,
+            op9_substring_dedup,
+            op10_packing,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:

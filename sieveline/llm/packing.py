@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.tokens import UnitEncoder
+from sieveline.llm.tokens import worker_encoder
 
 WINDOW = 2048
 #: Text bytes in a shard: its index and ids are held in memory by one task.
@@ -139,16 +139,13 @@ def pack_documents(
     where = F.pmod(F.xxhash64(F.col("doc_id"), F.substring("text", 1, 64)), F.lit(shards))
     dealt = slim.withColumn("shard", where)
     kind = slim.schema["doc_id"].dataType.simpleString()
-    state: dict[str, UnitEncoder] = {}
 
     def pack(table: pa.Table) -> pa.Table:
-        if "encoder" not in state:
-            state["encoder"] = UnitEncoder(path, spaced)
         keys, bodies = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
         shard = table.column("shard")[0].as_py()
         order = sorted(range(len(keys)), key=lambda i: (keys[i] is not None, keys[i], bodies[i]))
         keys, bodies = [keys[i] for i in order], [bodies[i] for i in order]
-        docs, units = state["encoder"].unit_ids(bodies)
+        docs, units = worker_encoder(path, spaced).unit_ids(bodies)
         end = np.asarray([end_id], dtype="<u4").tobytes()
         ids = [b"".join([units[u] for u in d.tolist()]) + end for d in docs]
         pieces = fill_windows(ShardIndex(docs, len(units)), [len(x) // 4 for x in ids], window)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm.arrow import map_batches, values
-from sieveline.llm.tokens import UnitEncoder
+from sieveline.llm.tokens import worker_encoder
 from sieveline.operators.numbering import running_total
 
 __all__ = ["read_tokens", "token_index", "tokenize_table", "write_tokens"]
@@ -37,7 +37,7 @@ def tokenize_table(
     """doc_id, n_tokens and ids of every row: the ids of its whole text and the end id.  A null text is empty."""
 
     def make() -> Callable[[pa.RecordBatch], list[dict]]:
-        encoder = UnitEncoder(path, spaced)
+        encoder = worker_encoder(path, spaced)
         end = np.asarray([end_id], dtype="<u4").tobytes()
 
         def encode(batch: pa.RecordBatch) -> list[dict]:

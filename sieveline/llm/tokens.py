@@ -8,6 +8,9 @@ ids in a row.  Texts for which the borders are not sure go to the library whole.
 from __future__ import annotations
 
 import os
+import struct
+import sys
+import types
 
 import numpy as np
 
@@ -24,6 +27,18 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def worker_encoder(path: str, spaced: bool) -> UnitEncoder:
+    """This process's encoder for a vocabulary: a Python worker serves many tasks, and keeps its units over them.
+
+    The module that holds it is made here, as this package's own functions are sent anew with each task.
+    """
+    kept = sys.modules.setdefault("_sieveline_worker", types.ModuleType("_sieveline_worker")).__dict__
+    name = f"{path}|{spaced}"
+    if name not in kept:
+        kept[name] = UnitEncoder(path, spaced)
+    return kept[name]
+
+
 class UnitEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -44,7 +59,7 @@ class UnitEncoder:
 
     def _encode(self, units: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(units, add_special_tokens=False)
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
+        return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in found]
 
     def _units(self, text: str) -> list[str]:
         if not self.spaced:
