@@ -5,10 +5,11 @@ bijections over its shingles.  Bands of four full minima give candidate pairs; o
 kept, packed into longs.  Equal bits are counted on the packed words, and the count corrected for chance equality
 estimates the similarity; pairs far below the threshold go.  The others are compared set by set.
 
-Candidates of a band's bucket are first linked to the bucket's lowest and highest class only.  Pairs inside a bucket
-are looked at only where they still lie in different components: a group of thousands of copies costs a link or two
-for each member, and no candidate pair of different components is left out.  At the threshold a true pair shares no
-bucket with a chance of (1 - 0.8**4)**24 = 3e-6.
+Candidates of a band's bucket are first linked to the bucket's lowest and highest class only: a group of thousands of
+copies costs a link or two for each member.  Where a bucket's members then still lie in different components, the
+pairs between components are found by a prefix filter on the full sets, so a text that is near to none of a large
+group is not compared with all of it, and no candidate pair is left out.  At the threshold a true pair shares no bucket
+with a chance of (1 - 0.8**4)**24 = 3e-6.
 """
 
 from __future__ import annotations
@@ -172,30 +173,23 @@ def near_duplicates(
         for end in ("low", "high")
     ]
     pairs = staged(stars[0].unionByName(stars[1]).distinct(), "star-pairs")
-    sets = _candidate_sets(docs, pairs, size)
+    ends = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    sets = _candidate_sets(docs, ends, size)
     links = staged(_confirmed(pairs, sets, percent), "star-links")
     found = connected_components(links)
     # Buckets of three and more whose members are not yet one component: the pairs between components.
-    inner = joined.where("members > 2").select("band", "h", "id", "n", "sig", "low", "high")
+    inner = joined.where("members > 2").select("band", "h", "id", "n")
     inner = inner.join(found, inner["id"] == found["node"], "left")
-    inner = inner.select("band", "h", "id", "n", "sig", F.coalesce("component", "id").alias("c"))
+    inner = inner.select("band", "h", "id", "n", F.coalesce("component", "id").alias("c"))
     mixed = inner.groupBy("band", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-    inner = staged(inner.join(mixed.select("band", "h"), ["band", "h"]), "mixed-buckets")
-    a, b = inner.alias("a"), inner.alias("b")
-    near = (
-        (F.col("a.band") == F.col("b.band"))
-        & (F.col("a.h") == F.col("b.h"))
-        & (F.col("a.id") > F.col("b.id"))
-        & (F.col("a.c") != F.col("b.c"))
-        & _plausible(F.col("a.n"), F.col("b.n"), F.col("a.sig"), F.col("b.sig"), percent)
-    )
-    more = a.join(b, near).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+    open_ = staged(inner.join(mixed.select("band", "h"), ["band", "h"]).select("id", "n", "c").distinct(), "open-classes")
+    open_sets = _candidate_sets(docs, open_.select("id"), size)
+    more = _prefix_pairs(open_, open_sets, percent)
     more = staged(more.join(pairs, ["u", "v"], "left_anti"), "inner-pairs")
     if more.isEmpty():
         components = found
     else:
-        sets = _candidate_sets(docs, more, size)
-        links = links.unionByName(_confirmed(more, sets, percent))
+        links = links.unionByName(_confirmed(more, open_sets, percent))
         components = connected_components(links)
     out = rows.join(classes, same, "left").withColumn(
         "class_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_id"))
@@ -207,9 +201,36 @@ def near_duplicates(
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _candidate_sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """id and set of every row in a pair, from the whole texts."""
-    ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
+def _prefix_pairs(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of classes (id, n, c) in different components c that share one of their rarest shingles.
+
+    Sets with a similarity of ``percent`` share a shingle among the first ``n - ceil(n * percent / 100) + 1`` of each,
+    in one order for all; with the rarest first, the edits that set a text apart come first, and texts that are near
+    nothing have no partner at all.  Shingles of one class cannot be shared: they take their places in the prefix but
+    no rows.  For each shingle, classes outside of its most frequent component are paired with the others; those
+    inside are not paired with each other.
+    """
+    tokens = classes.join(sets, "id").select("id", "n", "c", F.explode("set").alias("t"))
+    shared = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    ranked = tokens.join(shared, "t").groupBy("id", "n", "c").agg(
+        F.array_sort(F.collect_list(F.struct("f", "t"))).alias("common")
+    )
+    length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
+    taken = F.slice("common", F.lit(1), F.greatest(F.lit(0), length - (F.col("n") - F.size("common"))).cast("int"))
+    prefix = staged(ranked.select("id", "n", "c", F.explode(taken).alias("x")).select("id", "n", "c", "x.t"), "prefixes")
+    by_component = prefix.groupBy("t", "c").agg(F.count(F.lit(1)).alias("k"))
+    most = by_component.groupBy("t").agg(F.max_by("c", "k").alias("top"), F.count(F.lit(1)).alias("cs"))
+    rows = staged(prefix.join(most.where("cs > 1"), "t"), "prefix-rows")
+    a, b = rows.where("c <> top").alias("a"), rows.alias("b")
+    once = (F.col("b.c") == F.col("b.top")) | (F.col("a.id") > F.col("b.id"))
+    fits = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
+    near = (F.col("a.t") == F.col("b.t")) & (F.col("a.c") != F.col("b.c")) & once & fits
+    return a.join(b, near).select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
+
+
+def _candidate_sets(docs: DataFrame, chosen_ids: DataFrame, size: int) -> DataFrame:
+    """id and set of the chosen rows, from the whole texts."""
+    ids = chosen_ids.select(F.col("id").alias("doc_id")).distinct()
     chosen = docs.join(ids, "doc_id", "left_semi")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
