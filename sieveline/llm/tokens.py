@@ -11,13 +11,33 @@ import os
 import struct
 import sys
 import types
+from itertools import chain
 
 import numpy as np
 
-#: Units kept.  A full cache takes no more, and starts anew once most units miss it; it only saves time.
-CACHE_UNITS = 800_000
+#: Units kept, about 200 bytes each.  A full cache takes no more, and starts anew once most units miss it; it only
+#: saves time.
+CACHE_UNITS = 2_000_000
 #: Longer units are not kept.
 UNIT_CHARS = 48
+#: Units that are encoded as one text, to be parted by their bytes.
+JOINED = 256
+
+
+def _kinds() -> bytes:
+    """The kind of each Latin-1 character: s space, P full stop or comma, x letter or digit, Q any other sign."""
+    out = bytearray(b"Q" * 256)
+    for c in range(256):
+        if chr(c).isspace() or c < 32:
+            out[c] = ord("s")
+        elif chr(c).isalpha() and chr(c) not in "\xaa\xb5\xba" or "0" <= chr(c) <= "9":
+            out[c] = ord("x")
+    out[ord(".")] = out[ord(",")] = ord("P")
+    return bytes(out)
+
+
+_KINDS = _kinds()
+_GLUED = (b"PP", b"PQ", b"QP", b"sP")
 
 
 def tokenizer_path(name: str) -> str:
@@ -56,25 +76,74 @@ class UnitEncoder:
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
         self.cache: dict[str, bytes] = {}
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        # A byte-level token has a character for each of its bytes; a word's last token has its mark besides.
+        self.bytes_of = np.zeros(max(names.values()) + 1, dtype=np.int64)
+        for name, at in names.items():
+            self.bytes_of[at] = len(name.removesuffix("</w>"))
 
     def _encode(self, units: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(units, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
         return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in found]
 
+    def _plain(self, unit: str) -> bool:
+        """Whether the unit keeps its bytes, and its borders, beside others of this kind."""
+        if self.spaced:
+            return len(unit) > 1 and unit[0] == " " and unit[1] != "\x01" and not unit[1].isspace() and not unit[-1].isspace()
+        return unit.isalnum() and unit.isascii() and unit == unit.lower()
+
+    def _encode_joined(self, units: list[str]) -> list[bytes]:
+        """Ids of plain units, many at a time: their common ids are parted where the tokens' bytes sum up to a unit.
+
+        A text of which the sums do not meet every unit's end is encoded unit by unit.
+        """
+        out: list[bytes] = []
+        groups = [units[i : i + JOINED] for i in range(0, len(units), JOINED)]
+        between = "" if self.spaced else " "
+        found = self.tokenizer.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False)
+        for group, made in zip(groups, found, strict=True):
+            ids = np.asarray(made.ids, dtype="<u4")
+            at = np.cumsum(self.bytes_of[ids]) if len(ids) and ids.max() < len(self.bytes_of) else np.zeros(0, dtype=np.int64)
+            ends = np.cumsum([len(u.encode()) for u in group])
+            last = np.searchsorted(at, ends)
+            if len(at) and at[-1] == ends[-1] and np.array_equal(at[last], ends):
+                flat = ids.tobytes()
+                cuts = [0, *(4 * (last + 1)).tolist()]
+                out += [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            else:
+                out += self._encode(group)
+        return out
+
     def _units(self, text: str) -> list[str]:
+        """The text's units.  Full stops and commas that touch no other sign are units with what follows them: words
+        that end a sentence and words inside it are then the same units."""
+        try:
+            kinds = text.encode("latin-1").translate(_KINDS)
+            apart = not any(x in kinds for x in _GLUED) and "\x01" not in text
+        except UnicodeEncodeError:
+            apart = False
         if not self.spaced:
+            if apart:
+                text = text.lower().replace(".", " . ").replace(",", " , ")
             return text.replace("\n", " ").split(" ")
+        if apart:
+            text = text.replace(".", " \x01.").replace(",", " \x01,")
         units = text.split(" ")
         head = units[0]
         units = [" " + x for x in units]
         units[0] = head
         return units
 
-    def _learn(self, units: set[str], found: dict[str, bytes]) -> None:
-        new = list(units)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            found.update(zip(part, self._encode(part), strict=True))
+    def _learn(self, units: set[str] | list[str], found: dict[str, bytes]) -> None:
+        plain, rest = [], []
+        for u in units:
+            (plain if self._plain(u) else rest).append(u)
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
+            found.update(zip(part, self._encode_joined(part), strict=True))
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            found.update(zip(part, self._encode([u.replace(" \x01", "") if self.spaced else u for u in part]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.cache.get
@@ -107,12 +176,16 @@ class UnitEncoder:
 
     def unit_ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[bytes]]:
         """The texts as numbers of units, and each unit's ids; only for vocabularies that drop white space."""
-        number: dict[str, int] = {}
-        add = number.setdefault
-        docs = [np.asarray([add(u, len(number)) for u in self._units(t) if u], dtype=np.int64) for t in texts]
-        units = list(number)
+        cut = [self._units(t) for t in texts]
+        units = list(dict.fromkeys(chain.from_iterable(cut)))
+        number = dict(zip(units, range(len(units)), strict=True))
+        empty = number.get("", -1)
+        docs = []
+        for own in cut:
+            ids = np.fromiter(map(number.__getitem__, own), dtype=np.int64, count=len(own))
+            docs.append(ids[ids != empty])
         found: dict[str, bytes] = {}
-        self._learn({u for u in units if u not in self.cache}, found)
+        self._learn([u for u in units if u not in self.cache], found)
         known = self.cache.get
         ids = [x if (x := known(u)) is not None else found[u] for u in units]
         if len(self.cache) <= CACHE_UNITS:
