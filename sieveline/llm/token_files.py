@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from sieveline.llm.arrow import map_batches, values
 from sieveline.llm.tokens import worker_encoder
 from sieveline.operators.numbering import running_total
+from sieveline.session import stable
 
 __all__ = ["read_tokens", "token_index", "tokenize_table", "write_tokens"]
 
@@ -113,5 +114,5 @@ def token_index(spark: SparkSession, out: str) -> DataFrame:
         return check
 
     slim = map_batches(read_tokens(spark, out).select("doc_id", "ids"), make, "doc_id long, n_tokens long, ids_crc32 long")
-    placed = running_total(slim, ["doc_id", "ids_crc32"], value=F.col("n_tokens"), name="start")
+    placed = running_total(stable(slim), ["doc_id", "ids_crc32"], value=F.col("n_tokens"), name="start")
     return placed.select("doc_id", "start", "n_tokens", "ids_crc32")
