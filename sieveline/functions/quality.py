@@ -182,7 +182,10 @@ def norm_space(col: Column) -> Column:
 
 
 def keyword_soup_score(col: Column) -> Column:
-    t = norm_space(col)
+    return rx.let(norm_space(col), _soup)
+
+
+def _soup(t: Column) -> Column:
     body = rx.sub(t, r"^\[Cancer:.*?\]\s*Key idea:\s*", "")
     separators = rx.count(body, "[,;:/|]") / _length(body)
     score = (
@@ -205,13 +208,16 @@ def is_table_or_header_junk(col: Column) -> Column:
 
 
 def answerability_score(col: Column) -> Column:
-    t = norm_space(col)
+    return rx.let(norm_space(col), _answerability)
+
+
+def _answerability(t: Column) -> Column:
     tok = tokenish_count(t)
     score = (
         F.when(tok >= 150, 1.0).otherwise(0.0)
         + F.when(tok <= 800, 0.5).otherwise(0.0)
         + F.when(sentence_count(t) >= 2, 1.0).otherwise(0.0)
-        - F.when(keyword_soup_score(t) >= 3.0, 2.0).otherwise(0.0)
+        - F.when(_soup(t) >= 3.0, 2.0).otherwise(0.0)
         - F.when(is_table_or_header_junk(t), 3.0).otherwise(0.0)
     )
     return F.when(t == "", 0.0).otherwise(score)

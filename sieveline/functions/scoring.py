@@ -27,7 +27,11 @@ def entity_bonus(ents: Column, text: Column, r: L.Retrieval = R) -> Column:
 
 def mismatch_penalty(label: Column, text: Column, keywords: dict[str, list[str]] | None = None, r: L.Retrieval = R) -> Column:
     """For a text without the label's keywords and with several of another label's."""
-    words, low = keywords or L.LABEL_KEYWORDS, F.lower(empty(text))
+    words = keywords or L.LABEL_KEYWORDS
+    return rx.let(F.lower(empty(text)), lambda low: _mismatch(label, low, words, r))
+
+
+def _mismatch(label: Column, low: Column, words: dict[str, list[str]], r: L.Retrieval) -> Column:
     hits = {k: _sum([F.contains(low, F.lit(w)).cast("int") for w in v]) for k, v in words.items()}
     own = reduce(lambda a, kv: F.when(label == kv[0], kv[1]).otherwise(a), hits.items(), F.lit(0))
     best = F.greatest(F.lit(0), F.lit(0), *[F.when(label == k, 0).otherwise(n) for k, n in hits.items()])
@@ -37,8 +41,11 @@ def mismatch_penalty(label: Column, text: Column, keywords: dict[str, list[str]]
 
 def count_terms(text: Column, terms: list[str]) -> Column:
     """Terms that are substrings, with or (for short ones) without white space."""
-    low = F.lower(empty(text))
-    compact = rx.squeeze(low, "")
+    both = rx.let(F.lower(empty(text)), lambda t: F.struct(t.alias("low"), rx.squeeze(t, "").alias("compact")))
+    return rx.let(both, lambda s: _terms_in(s["low"], s["compact"], terms))
+
+
+def _terms_in(low: Column, compact: Column, terms: list[str]) -> Column:
     parts = []
     for term in terms:
         hit = F.contains(low, F.lit(term.lower()))
@@ -55,19 +62,22 @@ def must_mention(label: Column, text: Column, terms: dict | None = None, r: L.Re
     none = F.struct(F.lit(0.0).alias("penalty"), F.lit("no requested label").alias("reason"), F.lit(0).alias("req_hits"))
     out = none
     for name, of in spec.items():
-        req, anti = count_terms(text, of["must"]), count_terms(text, of["anti"])
-        penalty = (
-            F.when(req > 0, 0.0)
-            .when(anti >= 2, r.must_strong_other_penalty)
-            .when(anti == 1, r.must_weak_other_penalty)
-            .otherwise(r.must_generic_penalty)
-        )
-        reason = F.when(req > 0, "own").when(anti >= 2, "strong other").when(anti == 1, "weak other").otherwise("generic")
-        found = F.struct(penalty.alias("penalty"), reason.alias("reason"), req.alias("req_hits"))
-        out = F.when(label == name, found).otherwise(out)
+        counts = F.struct(count_terms(text, of["must"]).alias("req"), count_terms(text, of["anti"]).alias("anti"))
+        out = F.when(label == name, rx.let(counts, lambda c: _must(c["req"], c["anti"], r))).otherwise(out)
     return out
 
 
+def _must(req: Column, anti: Column, r: L.Retrieval) -> Column:
+    penalty = (
+        F.when(req > 0, 0.0)
+        .when(anti >= 2, r.must_strong_other_penalty)
+        .when(anti == 1, r.must_weak_other_penalty)
+        .otherwise(r.must_generic_penalty)
+    )
+    reason = F.when(req > 0, "own").when(anti >= 2, "strong other").when(anti == 1, "weak other").otherwise("generic")
+    return F.struct(penalty.alias("penalty"), reason.alias("reason"), req.alias("req_hits"))
+
+
 def count_terms_nonoverlap(text: Column, terms: list[str]) -> Column:
     """Whole terms, longest first; a term's first place is blanked before the next is looked for."""
     wanted = {" ".join(t.lower().split()) for t in terms if t}
@@ -112,9 +122,13 @@ def label_gate(label: Column, scores: Column) -> Column:
 def entity_overlap(ents: Column, text: Column) -> Column:
     """Share of the entities that the text has, as words or (short ones) without separators."""
     raw = empty(text)
-    norm = normalize_for_match(raw)
-    upper, lower = rx.squeeze(F.upper(raw), ""), rx.squeeze(F.lower(raw), "")
+    forms = F.struct(
+        normalize_for_match(raw).alias("norm"), rx.squeeze(F.upper(raw), "").alias("up"), rx.squeeze(F.lower(raw), "").alias("low")
+    )
+    return rx.let(forms, lambda s: _overlap(ents, s["norm"], s["up"], s["low"]))
+
 
+def _overlap(ents: Column, norm: Column, upper: Column, lower: Column) -> Column:
     def found(e: Column) -> Column:
         word = F.regexp_like(norm, F.concat(F.lit(r"(?iuU)\b\Q"), normalize_for_match(e), F.lit(r"\E\b")))
         up = F.regexp_replace(F.upper(e), r"[\s\-_/]+", "")
@@ -155,7 +169,7 @@ def fused_score(
 
 def l2_normalize(vector: Column) -> Column:
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(vector, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
+    return rx.let(norm, lambda n: F.transform(vector, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n)))
 
 
 def inner_product(a: Column, b: Column) -> Column:

@@ -20,14 +20,17 @@ def contains_any(col: Column, parts: list[str]) -> Column:
 
 
 def fix_mojibake(col: Column) -> Column:
-    """UTF-8 text that was read as Windows-1252 put right; a text that does not survive the way back stays.
+    """UTF-8 text that was read as Latin-1 put right, where every character of it has a byte there.
 
-    Done by turning the text into bytes of that code page and reading them as UTF-8, where no replacement appears.
+    Only texts with signs of it are tried, and only those whose bytes are UTF-8 are changed.
     """
-    back = F.decode(F.encode(col, "windows-1252"), "utf-8")
-    safe = rx.has(col, L.MOJIBAKE_HINT) & ~F.contains(back, F.lit("�")) & ~F.contains(col, F.lit("�"))
-    round_trip = F.decode(F.encode(col, "windows-1252"), "windows-1252") == col
-    return F.when(safe & round_trip, back).otherwise(col)
+
+    def mend(t: Column) -> Column:
+        one_byte = ~rx.has(t, "[^\\x00-\\xff]")
+        raw = F.when(rx.has(t, L.MOJIBAKE_HINT) & one_byte, F.encode(t, "iso-8859-1"))
+        return F.try_validate_utf8(raw.cast("string"))
+
+    return rx.let(col, lambda t: F.coalesce(mend(t), t))
 
 
 def basic_clean(col: Column) -> Column:
@@ -82,12 +85,23 @@ def remove_table_dumps(col: Column) -> Column:
 
 
 def remove_inline_citations(col: Column) -> Column:
-    t = F.when(F.contains(col, F.lit("[")), rx.sub(col, L.CITE_BRACKET, "")).otherwise(col)
-    t = F.when(F.contains(t, F.lit("(")), rx.sub(t, L.CITE_PAREN, "")).otherwise(t)
-    dated = F.contains(t, F.lit("(")) & rx.has(t, L.YEAR_HINT)
-    t = F.when(dated, rx.sub(rx.sub(t, L.CITE_AUTHOR_PAREN, ""), L.CITE_AUTHOR, "")).otherwise(t)
-    cited = F.contains(F.lower(t), F.lit("doi")) | F.contains(t, F.lit("10."))
-    return F.when(cited, rx.sub(t, L.CITE_DOI, "", "i")).otherwise(t)
+    def bracket(t: Column) -> Column:
+        return F.when(F.contains(t, F.lit("[")), rx.sub(t, L.CITE_BRACKET, "")).otherwise(t)
+
+    def paren(t: Column) -> Column:
+        return F.when(F.contains(t, F.lit("(")), rx.sub(t, L.CITE_PAREN, "")).otherwise(t)
+
+    def author(t: Column) -> Column:
+        dated = F.contains(t, F.lit("(")) & rx.has(t, L.YEAR_HINT)
+        return F.when(dated, rx.sub(rx.sub(t, L.CITE_AUTHOR_PAREN, ""), L.CITE_AUTHOR, "")).otherwise(t)
+
+    def doi(t: Column) -> Column:
+        cited = F.contains(F.lower(t), F.lit("doi")) | F.contains(t, F.lit("10."))
+        return F.when(cited, rx.sub(t, L.CITE_DOI, "", "i")).otherwise(t)
+
+    for step in (bracket, paren, author, doi):
+        col = rx.let(col, step)
+    return col
 
 
 def cut_references(col: Column) -> Column:
@@ -95,13 +109,19 @@ def cut_references(col: Column) -> Column:
 
     Headings are matched without case on the text itself, so letters that grow when upper-cased do not shift the cut.
     """
-    tail = F.when(F.length(col) > L.TAIL_CHARS, F.substring(col, -L.TAIL_CHARS, L.TAIL_CHARS)).otherwise(col)
-    before = F.length(col) - F.length(tail)
-    cuts = [F.nullif(F.regexp_instr(tail, F.lit(rx.java(p, "i"))), F.lit(0)) for p in L.TAIL_CUTS]
-    heavy = (rx.literal_count(tail, " PMID ") > 5) | (rx.literal_count(tail, " PubMed ") > 5)
-    pmid = F.when(heavy, F.nullif(F.locate(" PMID ", F.upper(tail)), F.lit(0)))
-    at = F.coalesce(*cuts, pmid)
-    return F.when(at.isNotNull(), rx.strip(F.substring(col, F.lit(1), before + at - 1))).otherwise(col)
+
+    def cut(t: Column) -> Column:
+        start = F.greatest(F.length(t) - L.TAIL_CHARS, F.lit(0))
+
+        def place(tail: Column) -> Column:
+            cuts = [F.nullif(F.regexp_instr(tail, F.lit(rx.java(p, "i"))), F.lit(0)) for p in L.TAIL_CUTS]
+            heavy = (rx.literal_count(tail, " PMID ") > 5) | (rx.literal_count(tail, " PubMed ") > 5)
+            return F.coalesce(*cuts, F.when(heavy, F.nullif(F.locate(" PMID ", F.upper(tail)), F.lit(0))))
+
+        at = rx.let(F.substring(t, start + 1, F.lit(L.TAIL_CHARS)), place)
+        return rx.let(at, lambda n: F.when(n.isNotNull(), rx.strip(F.substring(t, F.lit(1), start + n - 1))).otherwise(t))
+
+    return rx.let(col, cut)
 
 
 def normalize_whitespace(col: Column) -> Column:
@@ -113,21 +133,37 @@ def normalize_whitespace(col: Column) -> Column:
 
 def basic_clean_fast(col: Column, remove_tables: bool = True) -> Column:
     """All cleaning steps in order; each one's guard is part of what it does."""
-    raw = empty(col)
-    t = cut_references(F.replace(fix_mojibake(raw), F.lit("ï¬"), F.lit("")))
-    head = F.upper(F.substring(t, 1, 4000))
-    t = F.when(contains_any(head, L.DEEP_CLEAN_HEADING_HINTS), unflatten_headings(t)).otherwise(t)
-    t = remove_boilerplate_lines(t)
-    low = F.lower(t)
-    t = F.when(contains_any(low, ["figure", "fig.", "table"]), strip_figure_mentions(t)).otherwise(t)
-    cited = F.contains(t, F.lit("[")) | (F.contains(t, F.lit("(")) & rx.has(t, L.YEAR_HINT))
-    cited = cited | F.contains(low, F.lit("doi")) | F.contains(t, F.lit("10."))
-    t = F.when(cited, remove_inline_citations(t)).otherwise(t)
-    t = F.when(contains_any(F.lower(t), L.JUNK_TRIGGERS), remove_junk_and_supplements(t)).otherwise(t)
-    if remove_tables:
+
+    def headings(t: Column) -> Column:
+        hinted = contains_any(F.upper(F.substring(t, 1, 4000)), L.DEEP_CLEAN_HEADING_HINTS)
+        return F.when(hinted, unflatten_headings(t)).otherwise(t)
+
+    def figures_and_citations(t: Column) -> Column:
+        """The guards of both steps look at the text before either, but for brackets and years."""
+        low = F.lower(t)
+        figure = contains_any(low, ["figure", "fig.", "table"])
+
+        def cite(u: Column) -> Column:
+            cited = F.contains(u, F.lit("[")) | (F.contains(u, F.lit("(")) & rx.has(u, L.YEAR_HINT))
+            cited = cited | F.contains(low, F.lit("doi")) | F.contains(u, F.lit("10."))
+            return F.when(cited, remove_inline_citations(u)).otherwise(u)
+
+        return rx.let(F.when(figure, strip_figure_mentions(t)).otherwise(t), cite)
+
+    def junk(t: Column) -> Column:
+        return F.when(contains_any(F.lower(t), L.JUNK_TRIGGERS), remove_junk_and_supplements(t)).otherwise(t)
+
+    def tables(t: Column) -> Column:
         tabular = (F.contains(F.lower(t), F.lit("table")) | F.contains(t, F.lit("\t"))) & F.contains(t, F.lit("\n"))
-        t = F.when(tabular, remove_table_dumps(t)).otherwise(t)
-    return F.when(rx.strip(raw) == "", F.lit("")).otherwise(normalize_whitespace(t))
+        return F.when(tabular, remove_table_dumps(t)).otherwise(t)
+
+    def clean(raw: Column) -> Column:
+        t = cut_references(F.replace(fix_mojibake(raw), F.lit("ï¬"), F.lit("")))
+        for step in (headings, remove_boilerplate_lines, figures_and_citations, junk, *([tables] if remove_tables else [])):
+            t = rx.let(t, step)
+        return F.when(rx.strip(raw) == "", F.lit("")).otherwise(normalize_whitespace(t))
+
+    return rx.let(empty(col), clean)
 
 
 def fix_spacing_v1(col: Column) -> Column:
@@ -175,18 +211,24 @@ def prefix_fingerprint(col: Column, chars: int = 400) -> Column:
 
 def strip_header(col: Column) -> Column:
     """The body after a micro header and its rule."""
-    t = rx.sub(empty(col), r"^\s*\[Cancer[^\]]*\]\s*(?:Key idea:[^\n]*\n?)?", "", "i")
-    at = F.when(F.contains(t, F.lit("\n---\n")), F.regexp_replace(t, r"(?s)^.*?\n---\n", ""))
-    return rx.strip(F.coalesce(at, F.when(F.contains(t, F.lit(" --- ")), F.regexp_replace(t, r"(?s)^.*? --- ", "")), t))
+
+    def cut(t: Column) -> Column:
+        ruled = F.when(F.contains(t, F.lit("\n---\n")), F.regexp_replace(t, r"(?s)^.*?\n---\n", ""))
+        inline = F.when(F.contains(t, F.lit(" --- ")), F.regexp_replace(t, r"(?s)^.*? --- ", ""))
+        return rx.strip(F.coalesce(ruled, inline, t))
+
+    return rx.let(rx.sub(empty(col), r"^\s*\[Cancer[^\]]*\]\s*(?:Key idea:[^\n]*\n?)?", "", "i"), cut)
 
 
 def body_text(col: Column) -> Column:
     """After the first ``---``; else after the first ``]``; else the whole text."""
-    t = empty(col)
-    ruled = F.regexp_replace(t, rx.java(r"^.*?\s*---\s*", "s"), "")
-    closed = F.regexp_replace(t, rx.java(r"^[^\]]*\]\s*", "s"), "")
-    body = F.when(F.contains(t, F.lit("---")), ruled).when(F.contains(t, F.lit("]")), closed).otherwise(t)
-    return rx.strip(body)
+
+    def cut(t: Column) -> Column:
+        ruled = F.regexp_replace(t, rx.java(r"^.*?\s*---\s*", "s"), "")
+        closed = F.regexp_replace(t, rx.java(r"^[^\]]*\]\s*", "s"), "")
+        return F.when(F.contains(t, F.lit("---")), ruled).when(F.contains(t, F.lit("]")), closed).otherwise(t)
+
+    return rx.strip(rx.let(empty(col), cut))
 
 
 def body_text_indexed(col: Column) -> Column:
@@ -255,19 +297,23 @@ def drop_tableish_lines(col: Column) -> Column:
 
 def first_sentence(col: Column, max_words: int = 25) -> Column:
     """The first of the first twelve sentences that reads as one: the key idea."""
-    t = empty(col)
-    t = F.when(F.contains(t, F.lit("---\n")), rx.strip(F.regexp_replace(t, r"(?s)^.*?---\n", ""))).otherwise(t)
 
     def good(s: Column) -> Column:
         long = rx.count(s, r"\S+") >= 6
         soup = rx.has(rx.squeeze(s, ""), r"^[\d\W_]+$")
         return long & ~rx.has(s, L.BAD_KEY_SENTENCE, "i") & ~soup & ~s.rlike(r"^[0-9(\[{]")
 
-    first = F.get(F.filter(F.slice(split_sentences(t), 1, 12), good), F.lit(0))
-    chosen = F.coalesce(first, rx.strip(t))
-    words = rx.find_all(chosen, r"\S+")
-    cut = F.concat(F.array_join(F.slice(words, 1, max_words), " "), F.lit("…"))
-    return F.when(F.size(words) > max_words, cut).otherwise(chosen)
+    def choose(t: Column) -> Column:
+        return F.coalesce(F.get(F.filter(F.slice(split_sentences(t), 1, 12), good), F.lit(0)), rx.strip(t))
+
+    def cap(chosen: Column) -> Column:
+        words = rx.find_all(chosen, r"\S+")
+        cut = F.concat(F.array_join(F.slice(words, 1, max_words), " "), F.lit("…"))
+        return F.when(F.size(words) > max_words, cut).otherwise(chosen)
+
+    ruled = F.regexp_replace(empty(col), r"(?s)^.*?---\n", "")
+    t = F.when(F.contains(empty(col), F.lit("---\n")), rx.strip(ruled)).otherwise(empty(col))
+    return rx.let(rx.let(t, choose), cap)
 
 
 def micro_header(label: Column, section: Column, paper: Column, raw: Column) -> Column:

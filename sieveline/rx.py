@@ -8,6 +8,7 @@ literals, so Spark compiles each once for a task.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,6 +54,15 @@ def words(terms: list[str]) -> str:
     return r"\b(?:" + "|".join(r"\s+".join(re.escape(w) for w in t.split()) for t in terms) + r")\b"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, computed once.
+
+    A Column that stands in an expression several times is copied into the plan each time; nested steps that each
+    use their input three times would make a plan of exponential size.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def text_or_empty(*cols: Column) -> Column:
     """The first of ``cols`` that is neither null nor empty, else the empty string."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols], F.lit(""))
