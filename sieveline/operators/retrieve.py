@@ -15,6 +15,7 @@ from sieveline.functions import scoring as S
 from sieveline.functions import text as T
 from sieveline.operators.dedupe import diversify
 from sieveline.operators.index import SparseIndex, dense_topn, sparse_scores, sparse_topn
+from sieveline.session import staged
 
 
 def analyse_queries(queries: DataFrame, query_id: str, query: str, lexicon: L.Lexicon | None = None) -> DataFrame:
@@ -76,7 +77,10 @@ def retrieve(
     dense = dense_topn(vectors, query_vectors, "query_id", "qv", r.top_n_dense).drop("dense_rank")
     scores = sparse_scores(index, queries, "query_id", "terms")
     sparse = sparse_topn(index, scores, queries, "query_id", r.top_n_bm25).select("query_id", "row_id")
-    ids = dense.select("query_id", "row_id").unionByName(sparse).distinct()
+    ids = staged(dense.select("query_id", "row_id").unionByName(sparse).distinct(), "candidates")
+    # Whole-word evidence is the costly feature and does not depend on the query: once for each candidate row.
+    some = rows.join(ids.select("row_id").distinct(), "row_id", "left_semi")
+    rows = staged(some.withColumn("evidence", S.evidence_scores(F.col("body"), lx.terms)), "candidate-rows")
     found = (
         ids.join(dense, ["query_id", "row_id"], "left")
         .join(scores, ["query_id", "row_id"], "left")
@@ -85,7 +89,7 @@ def retrieve(
         .withColumns({"dense": F.coalesce("dense", F.lit(0.0)), "bm25": F.coalesce("bm25", F.lit(0.0))})
     )
     label, body = F.col("label"), F.col("body")
-    found = found.withColumn("evidence", S.evidence_scores(body, lx.terms)).where(S.label_gate(label, F.col("evidence")))
+    found = found.where(S.label_gate(label, F.col("evidence")))
     content = F.col("section").isin(L.CONTENT_SECTIONS)
     nothing = F.struct(F.lit(0.0).alias("penalty"), F.lit("other section").alias("reason"), F.lit(0).alias("req_hits"))
     found = found.withColumns(
