@@ -1,0 +1,368 @@
+"""The ten operators against brute force, and their edge cases."""
+
+from __future__ import annotations
+
+import hashlib
+import html
+import json
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sieveline.llm import entries
+from sieveline.llm import quality as Q
+from sieveline.llm.decontaminate import find_leaks
+from sieveline.llm.graph import connected_components
+from sieveline.llm.lines import dedup_lines
+from sieveline.llm.minhash import near_duplicates
+from sieveline.llm.packing import pack_documents
+from sieveline.llm.quality import judge_quality
+from sieveline.llm.secrets import judge, made_findings, scan_secrets, train
+from sieveline.llm.sharding import assign_shards, jump_shards
+from sieveline.llm.substring import FingerprintIndex, remove_repeats
+from sieveline.llm.token_files import token_index, write_tokens
+from sieveline.llm.tokens import UnitEncoder, tokenizer_path
+from sieveline.llm.wrappers import Page, align, article_leaves, extract_pages, fold, infer, kept_slots, page_text
+from sieveline.session import table_path
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score int, _k string, slot string"
+LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(30_000))
+ODD = [
+    (1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (5, "a\nb\nc\nd"), (6, "a\nb\nc\ne"), (7, LONG), (8, LONG),
+    (None, "null key here"), (9, "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\""), (10, "Äé ß ¶ 東京 😀 tail"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, "en", "s", None, 1, "x", "y") for i, t in ODD]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def low(t):
+    return re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def jump(key, n):
+    b, j = -1, 0
+    while j < n:
+        b = j
+        key = (key * 2862933555777941757 + 1) & (2**64 - 1)
+        j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+def test_jump_hash_vectors(spark):
+    keys = [1, 42, 0xDEAD10CC, 256, -5]
+    got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", jump_shards(F.col("k"), [1, 57, 666, 1024]).alias("s")).collect()
+    assert {r.k: list(r.s) for r in got} == {k: [jump(k & (2**64 - 1), n) for n in (1, 57, 666, 1024)] for k in keys}
+
+
+def test_sharding(spark, odd):
+    got = assign_shards(odd, 16).collect()
+    assert len(got) == len(ODD)
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+        assert r.grown_shard in (r.shard, 16)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert {(r.doc_id, r["size"], r.text_crc32) for r in got} == {(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in ODD}
+
+
+def test_secrets(spark, odd):
+    rows = made_findings(spark)
+    model = train(rows.where("id % 5 <> 0"))
+    held = judge(rows.where("id % 5 = 0"), model).join(rows.select("id", "label"), "id").collect()
+    assert np.mean([r.is_secret == (r.label > 0) for r in held]) > 0.97
+    found = scan_secrets(odd, rows, path="source").collect()
+    assert any(r.doc_id == 9 and r.is_secret for r in found)
+    assert scan_secrets(odd.where("false"), rows).count() == 0
+
+
+def test_wrapper_inference():
+    tags = lambda s: re.findall(r"\S+", s)
+    a, b = tags("body p # /p p # /p p # /p /body"), tags("body div! # /div! p # /p /body")
+    wrapper = infer([fold(a), fold(b)])
+    assert wrapper == ["body", ["?", ["div!"]], ["?", ["#"]], ["?", ["/div!"]], ["+", ["p", "#", "/p"]], "/body"]
+    assert kept_slots(wrapper, b, article_leaves(wrapper)) == [1]
+    assert align(["a", "/a"], ["a", "/a"]) == ["a", "/a"]
+
+
+def test_pages(spark):
+    rows = [
+        (1, "https://h.com/a", "<html><head><title>t</title></head><body><nav><a>menu</a></nav><article><h1>Head</h1><p>One &amp; <b>two</b>\n x<br>y</p><p>Three</article><div class='comments'><p>spam</p></div><footer>f</footer></body></html>"),
+        (2, "https://h.com/b", "<body><header>top</header><article><h1>Other</h1><p>P</p><aside>side</aside></article></body"),
+        (3, None, None), (4, "not a url", ""), (5, "https://g.com", "plain <i>text</i> only"), (6, "https://g.com", "<div>a</div><div id=cookie-notice>c</div><p>b &lt;x&gt;</p>"),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in extract_pages(df).collect()}
+    assert got[1].text == "Head\nOne & two x y\nThree" and got[1].n_chars == len(got[1].text)
+    assert got[2].text == "Other\nP" and got[3].text == "" and got[4].text == ""
+    assert got[5].text == "plain text only" and got[6].text == "a\nb <x>"
+    assert extract_pages(df.where("false")).count() == 0
+
+
+def test_pages_table(spark):
+    got = {r.page_id: r.text for r in entries.op3_html_extraction(spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        inner = re.sub(r"<[^>]*$", "", re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1])
+        parts = [" ".join(html.unescape(re.sub(r"<[^>]+>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
+        assert got[r.page_id] == "\n".join(x for x in parts if x)
+
+
+def test_page_parser():
+    page = Page("<p>a<script>var x='</p>';</script>b<!-- c --><style>z</style>c")
+    assert page_text(page, range(9)).split() == ["ab", "c"] or page_text(page, range(9)).replace("\n", "") == "abc"
+
+
+def test_lines(spark, odd, docs):
+    got = {(r.doc_id, r.text): (r.n_lines, r.n_removed) for r in dedup_lines(odd).collect()}
+    assert got[(6, "e")] == (4, 3) and got[(5, "a\nb\nc\nd")] == (4, 0) and got[(1, None)] == (0, 0) and got[(2, "")] == (1, 0)
+    assert dedup_lines(odd.where("false")).count() == 0
+    first, want = {}, {}
+    for i, t in sorted(docs):
+        lines = t.split("\n")
+        gone = set()
+        for p in range(len(lines) - 2):
+            if first.setdefault(tuple(lines[p : p + 3]), (i, p)) != (i, p):
+                gone.update(range(p, p + 3))
+        want[i] = (len(lines), len(gone), hashlib.sha256("\n".join(x for n, x in enumerate(lines) if n not in gone).encode()).hexdigest())
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in entries.op4_line_dedup(spark, SF).collect()}
+    assert got == want
+
+
+def brute_leaks(docs, items):
+    find = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
+    windows = defaultdict(set)
+    for i, t in items:
+        w = find(low(t))
+        for k in range(max(1, len(w) - 7) if w else 0):
+            windows[tuple(w[k : k + 8])].add(str(i))
+    out = []
+    for d, t in docs:
+        w, hit, ids = find(low(t)), set(), set()
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if tuple(w[k : k + size]) in windows:
+                    hit.update(range(k, k + size))
+                    ids |= windows[tuple(w[k : k + size])]
+        out.append((d, len(w), len(hit), tuple(sorted(ids))))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block", [8 << 20, 40])
+def test_leaks(spark, block):
+    items = [(1, "a b c d e f g h i j"), (2, "short one"), (3, None), (4, ""), (1, "a b c d e f g h"), (5, "Ä1 é2")]
+    rows = [(1, "x A b, c d e f g h; y short one"), (2, "b c d e f g h"), (3, None), (4, "ä1 Ä1 é2 a b c d e f g h i j"), (5, "one short")]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, items string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = find_leaks(df, bench, block_bytes=block).collect()
+    mine = [(r.doc_id, r.n_words, sum(s["stop"] - s["first"] for s in r.spans), tuple(sorted(r["items"]))) for r in got]
+    assert sorted(mine, key=str) == brute_leaks(rows, items)
+    assert find_leaks(df, bench.where("false")).where("size(spans) > 0").count() == 0
+    assert find_leaks(df.where("false"), bench).count() == 0
+
+
+def brute_near(docs, size, percent=80):
+    sets = {}
+    for i, t in docs:
+        w = words(low(t))
+        sets[i] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+    up = {i: i for i in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for x, i in enumerate(ids):
+        for j in ids[:x]:
+            n = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                a, b = top(i), top(j)
+                up[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), top(i), top(i) == i) for i in ids}
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_duplicates(spark, docs, size):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, size).collect()}
+    assert got == brute_near(docs, size)
+
+
+def test_near_group_with_outliers(spark):
+    rng = np.random.default_rng(3)
+    base = [f"b{i}" for i in range(120)]
+    docs = []
+    for i in range(150):
+        w = list(base)
+        for p in rng.choice(120, rng.integers(0, 22), replace=False):
+            w[p] = f"x{i}_{p}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, 2).collect()}
+    assert got == brute_near(docs, 2)
+
+
+def test_near_odd(spark, odd):
+    got = near_duplicates(odd, 2).collect()
+    assert len(got) == len(ODD)
+    by = {r.doc_id: r for r in got}
+    assert by[1].kept and by[2].kept and by[3].n_shingles == 0 and by[8].component_id == 7 and not by[8].kept and by[None].kept
+    assert near_duplicates(odd.where("false"), 2).count() == 0
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 30)] + [(50, 60), (60, 50), (7, 7)], "u long, v long")
+    got = {r.node: r.component for r in connected_components(edges).collect()}
+    assert got == {i: 0 for i in range(31)} | {50: 50, 60: 50}
+
+
+@pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_is_exact(docs, name, spaced):
+    from tokenizers import Tokenizer
+
+    odd = ["a  b", "a \n b   c\n\n d", "a.b,c, d. e.f 1.5,2 x.", "don't, WE'LL", "x ,y .z", "a\x01b, c", "ª, º. ×. İ, x", "<|endoftext|>. b", ".", "", " ", "é ́a", "東京. 😀, x"]
+    texts = [t for _, t in docs] + odd
+    plain = Tokenizer.from_file(tokenizer_path(name))
+    plain.encode_special_tokens = True
+    want = [np.asarray(x.ids, dtype="<u4").tobytes() for x in plain.encode_batch(texts, add_special_tokens=False)]
+    encoder = UnitEncoder(tokenizer_path(name), spaced)
+    assert encoder.encode(texts) == want and encoder.encode(texts) == want
+
+
+@pytest.mark.parametrize("encoding", ["dictionary", "delta"])
+def test_token_files(spark, odd, encoding):
+    from tokenizers import Tokenizer
+
+    out = table_path(spark, "test-tokens")
+    write_tokens(odd, out, tokenizer_path("byte_bpe_50k.json"), True, 2, encoding)
+    got = sorted((r.start, r.n_tokens, r.ids_crc32) for r in token_index(spark, out).collect())
+    t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    want, at = Counter(), 0
+    for i, text in ODD:
+        ids = np.asarray([*t.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        want[(len(ids), zlib.crc32(ids.tobytes()))] += 1
+    assert Counter((n, c) for _, n, c in got) == want
+    for start, n, _ in got:
+        assert start == at
+        at += n
+
+
+def test_quality_stats(docs):
+    for _, t in docs:
+        w = words(t)
+        grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        covered = {i + d for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for d in range(3)}
+        lines = [x for x in t.split("\n") if words(x)]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
+        assert Q.rule_stats(t.encode())[:5] == want
+
+
+def test_quality(spark, odd):
+    good = " ".join(f"word{i}" for i in range(80))
+    rows = [(i, good + f" end{i}", 1) for i in range(200)] + [(1000 + i, " ".join(f"w{j}###" for j in range(70 + i)), 0) for i in range(20)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    got = {r.doc_id: r.kept for r in judge_quality(df, labels).collect()}
+    assert got == {i: q == 1 for i, _, q in rows}
+    none = judge_quality(odd, labels.where("false")).collect()
+    assert len(none) == len(ODD) and all(r.base_failed and not r.kept for r in none if not words(r["doc_id"] and ""))
+    assert judge_quality(odd.where("false"), labels).count() == 0
+
+
+def brute_repeats(docs, n=35):
+    seen = Counter(tuple(w[i : i + n]) for _, t in docs for w in [words(t)] for i in range(len(w) - n + 1))
+    out = []
+    for d, t in docs:
+        w = words(t)
+        gone = {i + k for i in range(len(w) - n + 1) if seen[tuple(w[i : i + n])] > 1 for k in range(n)}
+        out.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return sorted(out, key=str)
+
+
+def test_repeats(spark, docs, odd):
+    rng = np.random.default_rng(1)
+    passage = " ".join(f"p{i}" for i in range(60))
+    extra = [(10_000 + k, " ".join([*(f"q{x}" for x in rng.integers(0, 9, k)), passage, f"t{k}"])) for k in range(0, 60, 7)]
+    extra += [(20_000, " ".join(["same"] * 90)), (20_001, " ".join(f"e{i}" for i in range(34))), (20_002, " ".join(f"e{i}" for i in range(34)))]
+    for rows in ([*docs, *extra], [(i, t) for i, t in ODD]):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in remove_repeats(df).collect()), key=str)
+        assert got == brute_repeats(rows)
+    assert remove_repeats(odd.where("false")).count() == 0
+
+
+def test_index_compaction(spark, docs):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    many, one = FingerprintIndex(spark, max_runs=2), FingerprintIndex(spark)
+    for part in range(5):
+        many.append(df.where(f"doc_id % 5 = {part}"))
+    one.append(df)
+    assert len(many.runs) <= 2
+    assert sorted(map(tuple, many.repeated().collect())) == sorted(map(tuple, one.repeated().collect()))
+
+
+def test_packing(spark, odd, docs):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    rows = [(i, x) for i, x in docs] + [(5000, None), (5001, ""), (5002, LONG)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pack_documents(df, tokenizer_path("word_bpe_49k.json"), 1, shard_bytes=200_000).collect()
+    ids = {i: np.asarray([*t.encode(x or "", add_special_tokens=False).ids, 1], dtype="<u4") for i, x in rows}
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for r in got:
+        by_doc[r.doc_id].append(r)
+        by_seq[r.sequence_id].append(r)
+    for i, own in by_doc.items():
+        at = 0
+        for r in sorted(own, key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids[i]) and r.ids_crc32 == zlib.crc32(ids[i][at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids[i])
+    padding = 0
+    for own in by_seq.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r.length
+        assert at <= 2048
+        padding += 2048 - at
+    assert by_doc.keys() == ids.keys() and padding < 2048 * len({q >> 32 for q in by_seq})
+    assert pack_documents(odd, tokenizer_path("word_bpe_49k.json"), 1).select("doc_id").distinct().count() == len({i for i, _ in ODD})
+    assert pack_documents(odd.where("false"), tokenizer_path("word_bpe_49k.json"), 1).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {0: docs.count()}
+    for k, (_, stage) in enumerate(P.STAGES[:-1], 1):
+        docs = stage(spark, docs, SF)
+        path = table_path(spark, "stage")
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        kept[k] = docs.count()
+    assert kept[0] > kept[1] >= kept[2] >= kept[3] >= kept[4] > 0
+    packed = P.STAGES[-1][1](spark, docs, SF)
+    assert packed.select("doc_id").distinct().count() == docs.count()
+    assert json.dumps([n for n, _ in P.STAGES])
