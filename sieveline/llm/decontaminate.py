@@ -102,7 +102,8 @@ def find_leaks(
     block_bytes: int = BLOCK_BYTES,
     carry: bool = False,
 ) -> DataFrame:
-    """n_words, spans and items for every row of ``df``, beside its key (or all its columns with ``carry``).
+    """n_words, spans and items for every row of ``df``, beside its key (or all its columns with ``carry``;
+    columns of these three names are then replaced).
 
     ``spans`` are the merged word ranges inside occurring windows, ``items`` the distinct ids (as strings) of the
     items that the windows are from.  An item of fewer than ``window`` words is one window; items without words have
@@ -113,7 +114,7 @@ def find_leaks(
     bench = benchmark.select(F.col(item).alias("i"), F.col(text).cast("binary").alias("t")).where("t IS NOT NULL")
     total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    names = df.columns if carry else [key]
+    names = [c for c in df.columns if c not in ("n_words", "spans", "items")] if carry else [key]
     parts = []
     for block in range(blocks):
         rows = bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()

@@ -66,26 +66,25 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     go becomes empty.  Rows equal in key and text are one document: they get the same result.  Extra columns stay;
     a column named ``n_lines`` or ``n_removed`` is replaced.  An empty table stays empty.
     """
-    windows = _windows(df, key, text)
-    place = F.struct(F.col(key).alias("k"), F.col("_x").alias("x"), F.col("_pos").alias("p"))
+    # The row is carried as a struct, so that no column of it can clash with those made here.
+    keep = [c for c in df.columns if c not in ("n_lines", "n_removed")]
+    packed = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(key).alias("k"), F.col(text).alias("t")
+    ).withColumn("x", F.xxhash64("t"))
+    windows = _windows(packed.select("k", "t"), "k", "t")
+    place = F.struct(F.col("k"), F.col("_x").alias("x"), F.col("_pos").alias("p"))
     repeated = windows.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first"))
     repeated = staged(repeated.where("_n > 1").drop("_n"), "line-windows")
     later = windows.join(repeated, ["_h1", "_h2"]).where(~place.eqNullSafe(F.col("_first")))
-    covered = later.groupBy(F.col(key).alias("_k"), F.col("_x").alias("_kx")).agg(
+    covered = later.groupBy(F.col("k").alias("_k"), F.col("_x").alias("_kx")).agg(
         F.array_sort(F.collect_set("_pos")).alias("_at")
     )
-    base = df.drop("n_lines", "n_removed")
-    hashed = base.withColumn("_x", F.xxhash64(F.col(text)))
-    joined = hashed.join(covered, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_x") == F.col("_kx")), "left")
-    lines = _lines(F.col(text))
+    joined = packed.join(covered, F.col("k").eqNullSafe(F.col("_k")) & (F.col("x") == F.col("_kx")), "left")
+    lines = _lines(F.col("t"))
     joined = joined.withColumn("_n", F.size(lines))
     joined = joined.withColumn("_left", F.when(F.col("_at").isNotNull(), _kept(lines, F.col("_at"))))
-    names = [
-        F.when(F.col("_left").isNull(), F.col(text)).otherwise(F.array_join("_left", "\n")).alias(text)
-        if c == text
-        else F.col(f"`{c}`")
-        for c in base.columns
-    ]
+    new_text = F.when(F.col("_left").isNull(), F.col("t")).otherwise(F.array_join("_left", "\n"))
+    names = [new_text.alias(text) if c == text else F.col("row")[c].alias(c) for c in keep]
     gone = F.when(F.col("_left").isNull(), 0).otherwise(F.col("_n") - F.size("_left"))
     return joined.select(*names, F.col("_n").cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"))
 

@@ -7,8 +7,8 @@ repeated group joins that group.  What comes out is the host's wrapper: a sequen
 and repeated groups, without alternatives (the union-free form of Crescenzi, Mecca and Merialdo, 2001).
 
 Every distinct stream is then read through its host's wrapper, which tells its slots apart: slots in menus, headers,
-footers, adverts and the like are boilerplate, and of the others those in the main element, or else in the region that
-holds most text, are the article.  A page keeps the text of the article's slots.
+footers, adverts and the like are boilerplate, and of the others those in the main element, or else all, are the article.
+A page keeps the text of the article's slots.
 
 Pages are reduced to their streams before anything is gathered: a host's pages have few distinct streams, and those are
 dealt into buckets by their hash, so a host that has a third of all pages is aligned in parts, then the parts' wrappers
@@ -111,9 +111,9 @@ class Page:
                 cut = rest.rfind("<")  # a tag that the page's end cuts off
                 if cut >= 0 and re.match(r"<[/a-zA-Z!?]?[^<]*\Z", rest[cut:]) and re.match(r"<(?:[/a-zA-Z!?]|\Z)", rest[cut:]):
                     rest = rest[:cut]
-                self._text(rest)
+                self._text(rest, stack)
                 break
-            self._text(source[at : found.start()])
+            self._text(source[at : found.start()], stack)
             at = found.end()
             if found[2] is None:
                 continue
@@ -155,20 +155,22 @@ class Page:
         while len(stack) > last:
             self.tokens.append(f"/{stack.pop()}")
 
-    def _text(self, raw: str) -> None:
-        if not raw or raw.isspace():
-            if raw and self.tokens and self.tokens[-1] == "#":
-                self.texts[-1] += raw
-            elif raw:
-                self._space = True
+    def _text(self, raw: str, stack: list[str]) -> None:
+        """A slot is named by its element, with ``!`` below boilerplate and ``*`` in the main content: slots of
+        different kinds are never aligned with each other."""
+        if not raw:
             return
-        if self.tokens and self.tokens[-1] == "#":
+        if self.tokens and self.tokens[-1].startswith("#"):
             self.texts[-1] += raw
-            return
-        self.slots.append(len(self.tokens))
-        self.tokens.append("#")
-        self.texts.append((" " if self._space else "") + raw)
-        self._space = False
+        elif raw.isspace():
+            self._space = True
+        else:
+            bad = "!" if any(x.endswith("!") for x in stack) else ""
+            main = "*" if any(x.endswith("*") for x in stack) else ""
+            self.slots.append(len(self.tokens))
+            self.tokens.append(f"#{stack[-1].rstrip('!*') if stack else ''}{bad}{main}")
+            self.texts.append((" " if self._space else "") + raw)
+            self._space = False
 
 
 # A wrapper is a list of items: a token; ["?", items] optional; ["+", items] repeated.  In JSON as it stands.
@@ -222,7 +224,7 @@ def _balanced(keys: list[str]) -> bool:
     """Every tag that opens in the run closes in it, and none else."""
     depth = 0
     for k in keys:
-        if k.startswith("+") or k in ("#", "br", "hr"):
+        if k[0] in "+#" or k in ("br", "hr"):
             continue
         depth += -1 if k.startswith("/") else 1
         if depth < 0:
@@ -380,54 +382,27 @@ def read_through(wrapper: list[Item], tokens: list[str]) -> list[int] | None:
     return path[::-1]
 
 
-def article_leaves(wrapper: list[Item], weight: dict[int, int] | None = None) -> set[int]:
+def article_leaves(wrapper: list[Item], own: set[int] | None = None) -> set[int]:
     """The numbers of the slots that hold the article.
 
-    Slots below a boilerplate tag are out.  If the wrapper has main elements, the slots in them stay; else those in
-    the body.  ``weight`` (text by leaf) is for wrappers without main elements: of the body's block elements the one
-    with the most text in its own paragraphs is the article's, if it has more than half of all.
+    Slots below a boilerplate tag are out.  If the wrapper has main elements, the slots in them are the article's;
+    else, and for a page (its leaves ``own``) that has none of them, all that are left.
     """
     main: set[int] = set()
     free: set[int] = set()
-    region: dict[int, int] = {}
-    number = blocks = 0
-    stack: list[tuple[str, int]] = []
 
-    def walk(items: list[Item]) -> None:
-        nonlocal number, blocks
+    def walk(items: list[Item], number: int) -> int:
         for x in items:
             if not isinstance(x, str):
-                walk(x[1])
+                number = walk(x[1], number)
                 continue
-            if x == "#":
-                if not any(s.endswith("!") for s, _ in stack):
-                    free.add(number)
-                    if any(s.endswith("*") for s, _ in stack):
-                        main.add(number)
-                    holder = [b for s, b in stack if s.rstrip("*") in ("div", "section", "td", "body", "table", "center")]
-                    region[number] = holder[-1] if holder else -1
-            elif x.startswith("/"):
-                if stack and stack[-1][0] == x[1:]:
-                    stack.pop()
-                elif any(s == x[1:] for s, _ in stack):
-                    while stack.pop()[0] != x[1:]:
-                        pass
-            elif x not in ("br", "hr"):
-                blocks += 1
-                stack.append((x, blocks))
+            if x.startswith("#") and "!" not in x:
+                (main if "*" in x else free).add(number)
             number += 1
+        return number
 
-    walk(wrapper)
-    if main:
-        return main
-    if weight:
-        mass: dict[int, int] = {}
-        for leaf in free:
-            mass[region[leaf]] = mass.get(region[leaf], 0) + weight.get(leaf, 0)
-        best = max(mass, key=lambda r: (mass[r], -r), default=None)
-        if best is not None and 2 * mass[best] > sum(mass.values()):
-            return {leaf for leaf in free if region[leaf] == best}
-    return free
+    walk(wrapper, 0)
+    return main if main and (own is None or main & own) else free
 
 
 def kept_slots(wrapper: list[Item], tokens: list[str], keep: set[int]) -> list[int] | None:
@@ -435,7 +410,7 @@ def kept_slots(wrapper: list[Item], tokens: list[str], keep: set[int]) -> list[i
     path = read_through(wrapper, tokens)
     if path is None:
         return None
-    slots = [leaf for leaf, t in zip(path, tokens, strict=True) if t == "#"]
+    slots = [leaf for leaf, t in zip(path, tokens, strict=True) if t.startswith("#")]
     return [i for i, leaf in enumerate(slots) if leaf in keep]
 
 
@@ -453,7 +428,7 @@ def page_text(page: Page, kept: Iterable[int]) -> str:
         line.clear()
 
     for t in page.tokens:
-        if t == "#":
+        if t.startswith("#"):
             if slot in chosen:
                 line.append(page.texts[slot])
             slot += 1
@@ -466,27 +441,17 @@ def page_text(page: Page, kept: Iterable[int]) -> str:
 
 
 def _streams(pages: DataFrame) -> DataFrame:
-    """host, stream (JSON of the tokens), n and slot sizes of the distinct streams in each batch of pages."""
+    """host and stream (the tokens) of the distinct streams in each batch of pages."""
 
     def make() -> Callable[[pa.RecordBatch], dict]:
         def reduce(batch: pa.RecordBatch) -> dict:
-            seen: dict[tuple[str, str], list] = {}
-            for url, source in zip(values(batch, "url").to_pylist(), values(batch, "html").to_pylist(), strict=True):
-                page = Page(source or "")
-                sizes = [len(x) for x in page.texts]
-                have = seen.setdefault((host_of(url), " ".join(page.tokens)), [0, [0] * len(sizes)])
-                have[0] += 1
-                have[1] = [a + b for a, b in zip(have[1], sizes, strict=True)]
-            return {
-                "host": [h for h, _ in seen],
-                "stream": [s for _, s in seen],
-                "n": [v[0] for v in seen.values()],
-                "sizes": [v[1] for v in seen.values()],
-            }
+            rows = zip(values(batch, "url").to_pylist(), values(batch, "html").to_pylist(), strict=True)
+            seen = dict.fromkeys((host_of(url), " ".join(Page(source or "").tokens)) for url, source in rows)
+            return {"host": [h for h, _ in seen], "stream": [s for _, s in seen]}
 
         return reduce
 
-    return map_batches(pages, make, "host string, stream string, n long, sizes array<long>")
+    return map_batches(pages, make, "host string, stream string")
 
 
 def _infer_group(table: pa.Table) -> pa.Table:
@@ -513,11 +478,11 @@ def extract_pages(df: DataFrame, key: str = "page_id", url: str = "url", source:
     """
     kind = df.schema[key].dataType.simpleString()
     pages = df.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(source).alias("html"))
-    found = _streams(pages.select("url", "html")).groupBy("host", "stream").agg(F.sum("n").alias("n"), F.first("sizes").alias("sizes"))
-    folded = staged(map_batches(found, _make_fold, "host string, stream string, sizes array<long>, folded string"), "page-streams")
+    found = _streams(pages.select("url", "html")).distinct()
+    folded = staged(map_batches(found, _make_fold, "host string, stream string, folded string"), "page-streams")
     wrappers = staged(infer_wrappers(folded.select("host", "folded").distinct()), "wrappers")
     plans = folded.join(wrappers.select("host", F.col("folded").alias("wrapper")), "host")
-    plans = map_batches(plans.select("host", "stream", "sizes", "wrapper"), _make_plan, "host string, stream_id long, slots array<int>, fits boolean")
+    plans = map_batches(plans.select("host", "stream", "wrapper"), _make_plan, "host string, stream_id long, slots array<int>, fits boolean")
     plans = staged(plans, "page-plans")
     keyed = map_batches(pages, _make_keyed, f"page_id {kind}, url string, html string, host string, stream_id long")
     joined = keyed.join(plans, ["host", "stream_id"], "left")
@@ -536,7 +501,7 @@ def _make_fold() -> Callable[[pa.RecordBatch], dict]:
     def run(batch: pa.RecordBatch) -> dict:
         streams = values(batch, "stream")
         folded = [json.dumps(fold(s.split(" ") if s else [])) for s in streams.to_pylist()]
-        return {"host": values(batch, "host"), "stream": streams, "sizes": values(batch, "sizes"), "folded": folded}
+        return {"host": values(batch, "host"), "stream": streams, "folded": folded}
 
     return run
 
@@ -546,9 +511,7 @@ def _make_plan() -> Callable[[pa.RecordBatch], dict]:
 
     def run(batch: pa.RecordBatch) -> dict:
         ids, slots, fits = [], [], []
-        for s, sizes, w in zip(
-            values(batch, "stream").to_pylist(), values(batch, "sizes").to_pylist(), values(batch, "wrapper").to_pylist(), strict=True
-        ):
+        for s, w in zip(values(batch, "stream").to_pylist(), values(batch, "wrapper").to_pylist(), strict=True):
             if len(read) > 64:
                 read.clear()
             wrapper = read.setdefault(w, json.loads(w))
@@ -557,11 +520,8 @@ def _make_plan() -> Callable[[pa.RecordBatch], dict]:
             own = tokens if path is None else None
             if path is None:  # the page is then read through the wrapper of its own stream
                 wrapper, path = tokens, list(range(len(tokens)))
-            leaves = [leaf for leaf, t in zip(path, tokens, strict=True) if t == "#"]
-            weight: dict[int, int] = {}
-            for leaf, n in zip(leaves, sizes, strict=True):
-                weight[leaf] = weight.get(leaf, 0) + n
-            keep = article_leaves(wrapper, weight)
+            leaves = [leaf for leaf, t in zip(path, tokens, strict=True) if t.startswith("#")]
+            keep = article_leaves(wrapper, set(leaves))
             ids.append(stream_id(tokens))
             slots.append([i for i, leaf in enumerate(leaves) if leaf in keep])
             fits.append(own is None)

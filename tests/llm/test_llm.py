@@ -95,9 +95,9 @@ def test_secrets(spark, odd):
 
 def test_wrapper_inference():
     tags = lambda s: re.findall(r"\S+", s)
-    a, b = tags("body p # /p p # /p p # /p /body"), tags("body div! # /div! p # /p /body")
+    a, b = tags("body p #p /p p #p /p p #p /p /body"), tags("body div! #div! /div! p #p /p /body")
     wrapper = infer([fold(a), fold(b)])
-    assert wrapper == ["body", ["?", ["div!"]], ["?", ["#"]], ["?", ["/div!"]], ["+", ["p", "#", "/p"]], "/body"]
+    assert wrapper == ["body", ["?", ["div!"]], ["?", ["#div!"]], ["?", ["/div!"]], ["+", ["p", "#p", "/p"]], "/body"]
     assert kept_slots(wrapper, b, article_leaves(wrapper)) == [1]
     assert align(["a", "/a"], ["a", "/a"]) == ["a", "/a"]
 
