@@ -66,10 +66,11 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     go becomes empty.  Rows equal in key and text are one document: they get the same result.  Extra columns stay;
     a column named ``n_lines`` or ``n_removed`` is replaced.  An empty table stays empty.
     """
-    # The row is carried as a struct, so that no column of it can clash with those made here.
+    # What is beside the text is carried as a struct, so that no column of it can clash with those made here.
     keep = [c for c in df.columns if c not in ("n_lines", "n_removed")]
+    beside = [F.col(f"`{c}`") for c in keep if c != text]
     packed = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(key).alias("k"), F.col(text).alias("t")
+        F.struct(*beside, F.lit(0).alias("_")).alias("row"), F.col(key).alias("k"), F.col(text).alias("t")
     ).withColumn("x", F.xxhash64("t"))
     windows = _windows(packed.select("k", "t"), "k", "t")
     place = F.struct(F.col("k"), F.col("_x").alias("x"), F.col("_pos").alias("p"))
