@@ -38,8 +38,8 @@ PERIOD = 24
 # Elements that never hold article text; elements without content; elements that stand inside a line;
 # elements that an opening tag of the same kind (or of a block, for p) closes; words in class, id or role attributes.
 DROPPED = frozenset(
-    "nav header footer aside form script style noscript template svg math iframe object embed canvas select option "
-    "button input textarea label fieldset dialog menu head title audio video map datalist".split()
+    "nav header footer aside script style noscript template svg math iframe object embed canvas select option "
+    "button input textarea label dialog menu head title audio video map datalist".split()
 )
 RAW = frozenset("script style noscript template textarea title iframe svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,11 +50,17 @@ INLINE = frozenset(
 SELF_CLOSED = frozenset("p li dt dd tr td th option".split())
 MARKS = frozenset(
     "ad ads adv advert advertisement advertising adbox adslot banner sponsor sponsored promo promoted promotion nav "
-    "navbar navigation menu submenu breadcrumb breadcrumbs header masthead footer foot sidebar side aside rail widget "
-    "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login "
-    "comment comments commentlist disqus respond reply replies discussion share sharing social related recommended "
-    "recommendations pagination pager toolbar search copyright legal disclaimer hidden skip toc tags".split()
+    "navbar navigation menu submenu breadcrumb breadcrumbs cookie cookies consent gdpr newsletter comment comments "
+    "commentlist disqus respond reply replies discussion share sharing social related recommended recommendations "
+    "pagination pager toolbar hidden".split()
 )
+# Words for a place in the layout, which whole pages stand in as well, and for notes, which articles hold as well;
+# words that say of a mark behind them that the element has it, or has none, not that it is one.
+PLACES = frozenset(
+    "footer foot sidebar side aside rail widget popup modal overlay subscribe subscription signup login search skip".split()
+)
+NOTES = frozenset("header masthead notice alert copyright legal disclaimer toc tags".split())
+HAVING = frozenset("has have with no not without".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu".split())
 
 _TOKEN = re.compile(
@@ -71,26 +77,63 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
+def _bare_name(token: str) -> str:
+    return token.rstrip("!^~?*")
+
+
+def _class_sign(value: str) -> str:
+    """``^`` for a class or id with a word of boilerplate, ``~`` of a place in the layout, ``?`` of a note."""
+    found = set()
+    for name in value.split():
+        for word in re.split(r"[^a-z0-9]+", name):
+            if word in HAVING:
+                break
+            found.add("^" if word in MARKS else "~" if word in PLACES else "?" if word in NOTES else "")
+    return next((x for x in "^~?" if x in found), "")
+
+
 def _mark(name: str, attributes: str) -> str:
-    """A tag's token: its name, with ``!`` where name or attributes say boilerplate and ``*`` for the main content."""
+    """A tag's token: its name and a sign.
+
+    ``!`` is boilerplate by element, role or hiding, ``^`` by class or id, ``*`` the main content; ``~`` (a place in
+    the layout, or a form) and ``?`` (a note) are judged by what the host's pages hold there.
+    """
     if name in DROPPED:
         return f"{name}!"
     main = name in ("article", "main")
-    bad = False
+    sign = "~" if name in ("form", "fieldset") else ""
     if attributes and attributes != "/":
         for key, *given in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), next((g for g in given if g), "").lower()
             if key == "hidden" or (key == "aria-hidden" and value == "true"):
-                bad = True
-            elif key == "role":
-                bad = bad or value in ROLES
+                return f"{name}!"
+            if key == "role":
+                if value in ROLES and not (name == "form" and value == "form"):
+                    return f"{name}!"
                 main = main or value in ("main", "article")
             elif key == "itemprop":
                 main = main or value == "articlebody"
-            elif key in ("class", "id"):
-                words = set(re.split(r"[^a-z0-9]+", value))
-                bad = bad or (bool(words & MARKS) and name not in ("html", "body", "article", "main"))
-    return f"{name}{'!' if bad else '*' if main else ''}"
+            elif key in ("class", "id") and name not in ("html", "body", "article", "main"):
+                sign = min(sign, _class_sign(value), key=lambda x: "^~?".find(x) if x else 9)
+    return f"{name}{'*' if main and sign != '^' else sign}"
+
+
+def _state(stack: list[str]) -> str:
+    """What the open tags say of a slot: ``!`` out, ``*`` main content, ``*?`` a note and ``*~`` a place in it, ``~`` a
+    place or note outside of it, or nothing.  The innermost tag that says something decides, but nothing leads out of
+    boilerplate by element, and of boilerplate by class only a main element."""
+    state = ""
+    for token in stack:
+        sign = token[-1]
+        if sign == "!":
+            return "!"
+        if sign == "*" and (state != "^" or token == "main*"):
+            state = "*"
+        elif sign == "^":
+            state = "^"
+        elif sign in "~?" and state != "^":
+            state = ("*~" if sign == "~" or state == "*~" else "*?") if state.startswith("*") else "~"
+    return "!" if state == "^" else state
 
 
 class Page:
@@ -119,15 +162,17 @@ class Page:
                 continue
             name = found[2].lower()
             if found[1]:
-                names = [x.rstrip("!*") for x in stack]
+                names = [_bare_name(x) for x in stack]
                 if name in names:
                     while stack:
                         top = stack.pop()
                         self.tokens.append(f"/{top}")
-                        if top.rstrip("!*") == name:
+                        if _bare_name(top) == name:
                             break
                 continue
             token = _mark(name, found[3])
+            if token == "header!" and _state(stack).startswith("*"):
+                token = "header"  # the article's own head
             if name in VOID:
                 if name in ("br", "hr"):
                     self.tokens.append(name)
@@ -145,7 +190,7 @@ class Page:
 
     def _close_implied(self, stack: list[str], name: str) -> None:
         """Block tags end an open paragraph (and what stands inside its line), items end items of their kind."""
-        names = [x.rstrip("!*") for x in stack]
+        names = [_bare_name(x) for x in stack]
         last = len(names)
         for i in range(len(names) - 1, -1, -1):
             if names[i] == "p" or (names[i] == name and name in SELF_CLOSED):
@@ -156,8 +201,8 @@ class Page:
             self.tokens.append(f"/{stack.pop()}")
 
     def _text(self, raw: str, stack: list[str]) -> None:
-        """A slot is named by its element, with ``!`` below boilerplate and ``*`` in the main content: slots of
-        different kinds are never aligned with each other."""
+        """A slot is named by its element and the state of its open tags: slots of different kinds are never aligned
+        with each other."""
         if not raw:
             return
         if self.tokens and self.tokens[-1].startswith("#"):
@@ -165,10 +210,8 @@ class Page:
         elif raw.isspace():
             self._space = True
         else:
-            bad = "!" if any(x.endswith("!") for x in stack) else ""
-            main = "*" if any(x.endswith("*") for x in stack) else ""
             self.slots.append(len(self.tokens))
-            self.tokens.append(f"#{stack[-1].rstrip('!*') if stack else ''}{bad}{main}")
+            self.tokens.append(f"#{_bare_name(stack[-1]) if stack else ''}{_state(stack)}")
             self.texts.append((" " if self._space else "") + raw)
             self._space = False
 
@@ -382,27 +425,33 @@ def read_through(wrapper: list[Item], tokens: list[str]) -> list[int] | None:
     return path[::-1]
 
 
+def slot_sign(token: str) -> str:
+    """The state at the end of a slot's token."""
+    return token[len(_bare_name(token)) :]
+
+
 def article_leaves(wrapper: list[Item], own: set[int] | None = None) -> set[int]:
-    """The numbers of the slots that hold the article.
+    """The numbers of the slots that hold the article, by their tags alone.
 
-    Slots below a boilerplate tag are out.  If the wrapper has main elements, the slots in them are the article's;
-    else, and for a page (its leaves ``own``) that has none of them, all that are left.
+    Slots in boilerplate are out.  The slots in main elements are the article's, without places in the layout if there
+    are others; else, and for a page (its leaves ``own``) that has none of them, those that nothing is said of; else
+    those in places and notes.
     """
-    main: set[int] = set()
-    free: set[int] = set()
+    ranks: list[set[int]] = [set(), set(), set(), set()]
+    rank = {"*": 0, "*?": 0, "*~": 1, "": 2, "~": 3}
 
     def walk(items: list[Item], number: int) -> int:
         for x in items:
             if not isinstance(x, str):
                 number = walk(x[1], number)
                 continue
-            if x.startswith("#") and "!" not in x:
-                (main if "*" in x else free).add(number)
+            if x.startswith("#") and slot_sign(x) in rank:
+                ranks[rank[slot_sign(x)]].add(number)
             number += 1
         return number
 
     walk(wrapper, 0)
-    return main if main and (own is None or main & own) else free
+    return next((x for x in ranks if x and (own is None or x & own)), set())
 
 
 def kept_slots(wrapper: list[Item], tokens: list[str], keep: set[int]) -> list[int] | None:
@@ -434,7 +483,7 @@ def page_text(page: Page, kept: Iterable[int]) -> str:
             slot += 1
         elif t == "br":
             line.append(" ")
-        elif t.lstrip("/").rstrip("!*") not in INLINE:
+        elif _bare_name(t.lstrip("/")) not in INLINE:
             flush()
     flush()
     return "\n".join(blocks)

@@ -129,6 +129,28 @@ def test_page_parser():
     assert page_text(page, range(9)).split() == ["ab", "c"] or page_text(page, range(9)).replace("\n", "") == "abc"
 
 
+def test_marks_around_articles(spark):
+    def page(body):
+        return f"<html><body>{body}<footer>f</footer></body></html>"
+
+    said = "<p>Some text of the page.</p>"
+    pages = [
+        f"<div class='content has-sidebar'>{said}</div>", f"<div class='layout no-comments'>{said}</div>",
+        f"<div id='page-with-header'>{said}</div>", f"<form id='aspnetForm'><div>{said}</div><input value=x></form>",
+        f"<form><div class='sidebar'><article>{said}</article></div><p>other</p></form>",
+        f"<div class='layout sidebar'>{said}</div>", f"<div class='menu'><main>{said}</main></div>",
+        f"<article><div class='post-tags notice'>{said}</div></article>",
+    ]
+    heads = ["<article><header><h1>Head</h1></header>{}</article>", "<article><div class='article-header'><h1>Head</h1></div>{}</article>"]
+    out = ["<div class='comments'><article>{}</article></div>", "<nav><article>{}</article></nav>", "<div hidden>{}</div>"]
+    rows = [(i, f"https://h{i}.com/", page(x)) for i, x in enumerate([*pages, *[h.format(said) for h in heads], *[o.format(said) for o in out]])]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    n = len(pages)
+    assert [got[i] for i in range(n)] == ["Some text of the page."] * n
+    assert got[n] == got[n + 1] == "Head\nSome text of the page."
+    assert [got[i] for i in range(n + 2, len(rows))] == [""] * len(out)
+
+
 def test_lines(spark, odd, docs):
     got = {(r.doc_id, r.text): (r.n_lines, r.n_removed) for r in dedup_lines(odd).collect()}
     assert got[(6, "e")] == (4, 3) and got[(5, "a\nb\nc\nd")] == (4, 0) and got[(1, None)] == (0, 0) and got[(2, "")] == (1, 0)
