@@ -6,9 +6,12 @@ where they differ, the tokens that only one has become optional, and a single to
 repeated group joins that group.  What comes out is the host's wrapper: a sequence of tags, text slots, optional parts
 and repeated groups, without alternatives (the union-free form of Crescenzi, Mecca and Merialdo, 2001).
 
-Every distinct stream is then read through its host's wrapper, which tells its slots apart: slots in menus, headers,
-footers, adverts and the like are boilerplate, and of the others those in the main element, or else all, are the article.
-A page keeps the text of the article's slots.
+Every distinct stream is then read through its host's wrapper, which tells which slots of the host's pages are the same.
+What the host's distinct pages hold in a slot decides about it: a slot with the same text on nearly all of them is the
+template's, one in blocks of links is a menu's, and text that nearly all pages repeat in a slot of the article (one of
+several equal elements, say) is left out too.  Of what varies, the slots in the main element, or else all, are the
+article; places in the layout and notes count where they hold most of the text.  Slots below elements and classes that
+never hold articles are out, and where a host has too few pages to compare, tags and classes decide alone.
 
 Pages are reduced to their streams before anything is gathered: a host's pages have few distinct streams, and those are
 dealt into buckets by their hash, so a host that has a third of all pages is aligned in parts, then the parts' wrappers
@@ -34,6 +37,11 @@ from sieveline.session import staged
 PARTS = 16
 #: Tokens in a period of a repeated group that are looked for.
 PERIOD = 24
+#: Distinct pages that must have a slot before its texts are compared; the share of them that makes a text the
+#: template's, and the share of a slot's characters that makes the slot the template's or a menu's.
+LEAST, SAME = 3, 0.8
+#: Text that nothing is said of must have this share of the text in places and notes, else those count as well.
+LIGHT = 0.2
 
 # Elements that never hold article text; elements without content; elements that stand inside a line;
 # elements that an opening tag of the same kind (or of a block, for p) closes; words in class, id or role attributes.
@@ -489,6 +497,76 @@ def page_text(page: Page, kept: Iterable[int]) -> str:
     return "\n".join(blocks)
 
 
+def text_id(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def slot_facts(page: Page) -> list[tuple[int, int, int]]:
+    """For each slot its text's hash, its characters, and those of them in blocks that are mostly links."""
+    facts: list[tuple[int, int, int]] = []
+    block: list[tuple[int, int, bool]] = []
+    links = 0
+
+    def flush() -> None:
+        linked = sum(n for _, n, link in block if link) >= SAME * sum(n for _, n, _ in block)
+        facts.extend((h, n, n if linked else 0) for h, n, _ in block)
+        block.clear()
+
+    for t in page.tokens:
+        if t.startswith("#"):
+            text = " ".join(html.unescape(page.texts[len(facts) + len(block)]).split())
+            block.append((text_id(text), len(text), links > 0))
+            continue
+        name = _bare_name(t.lstrip("/"))
+        if name == "a":
+            links += -1 if t.startswith("/") else 1
+        elif name not in INLINE and name != "br":
+            flush()
+    flush()
+    return facts
+
+
+def choose_slots(signs: list[str], leaves: list[int], judged: list[dict]) -> tuple[list[int], list[list[int]]]:
+    """Which slots (by order) of a stream are the article's, and the texts in them that are the template's.
+
+    ``judged`` has for leaves of the host's wrapper the distinct ``pages`` with it, ``chars`` on them, those ``linked``
+    in blocks of links and those ``fixed`` in texts that nearly all of these pages hold (``same``).
+    """
+    known = {x["leaf"]: x for x in judged}
+
+    def compared(leaf: int) -> dict | None:
+        x = known.get(leaf)
+        return x if x and x["pages"] >= LEAST and x["chars"] else None
+
+    def is_menu(leaf: int) -> bool:
+        x = known.get(leaf)
+        return bool(x and x["chars"] and x["linked"] >= SAME * x["chars"])
+
+    def is_template(leaf: int) -> bool:
+        x = compared(leaf)
+        return bool(x and x["fixed"] >= SAME * x["chars"])
+
+    # Pages that are all alike tell nothing: then no slot is the template's.
+    varying = any(compared(x) and not is_template(x) and not is_menu(x) for x in known)
+    slots = [i for i in range(len(leaves)) if signs[i] != "!" and not (varying and is_template(leaves[i]))]
+
+    def weight(of: list[int]) -> float:
+        found = {leaves[i] for i in of} & set(known)
+        return sum((known[x]["chars"] - known[x]["fixed"]) / known[x]["pages"] for x in found)
+
+    main = [i for i in slots if signs[i] == "*" or (signs[i] == "*?" and not is_menu(leaves[i]))]
+    free = [i for i in slots if signs[i] == "" and not is_menu(leaves[i])]
+    for kept, places in ((main, "*~"), (free, "~")):
+        soft = [i for i in slots if signs[i] == places and not is_menu(leaves[i])]
+        if soft and weight(kept) < LIGHT * weight(soft):
+            kept += soft
+    kept = sorted(main or free)
+    if not kept and not varying:  # a page of links only
+        kept = [i for i in slots if signs[i] == ""] or [i for i in slots if signs[i] == "~"]
+    same = [[i, t] for i in kept if varying and compared(leaves[i]) for t in known[leaves[i]].get("same", ())]
+    return kept, same
+
+
 def _streams(pages: DataFrame) -> DataFrame:
     """host and stream (the tokens) of the distinct streams in each batch of pages."""
 
@@ -518,6 +596,36 @@ def infer_wrappers(streams: DataFrame, parts: int = PARTS) -> DataFrame:
     )
 
 
+def judge_leaves(facts: DataFrame, paths: DataFrame) -> DataFrame:
+    """host, own (0, or the stream that its wrapper does not fit) and judged (JSON): what the host's distinct pages
+    hold in each leaf that is not boilerplate by its tags."""
+    pages = facts.dropDuplicates(["host", "page_hash"]).join(paths, ["host", "stream_id"])
+    slot = F.arrays_zip("leaves", "signs", "texts", "chars", "linked")
+    slots = F.array_distinct(F.filter(slot, lambda x: x["signs"] != "!"))
+    # A row without text for each leaf of a page counts the leaf's pages.
+    once = F.transform(
+        F.array_distinct(F.transform(slots, lambda x: x["leaves"])),
+        lambda leaf: F.struct(leaf.alias("leaves"), F.lit(None).cast("string").alias("signs"), F.lit(None).cast("long").alias("texts"), F.lit(0).alias("chars"), F.lit(0).alias("linked")),
+    )
+    rows = pages.select("host", "own", F.explode(F.concat(slots, once)).alias("x")).select(
+        "host", "own", F.col("x.leaves").alias("leaf"), F.col("x.texts").alias("text"), F.col("x.chars").alias("chars"), F.col("x.linked").alias("linked")
+    )
+    leaf = ["host", "own", "leaf"]
+    counted = rows.groupBy(*leaf, "text").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    alone = F.col("text").isNull()
+    totals = counted.groupBy(*leaf).agg(
+        F.max(F.when(alone, F.col("n"))).alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")
+    )
+    totals = staged(totals, "leaf-totals")
+    often = counted.where(F.col("n") >= LEAST).join(totals.select(*leaf, "pages"), leaf)
+    often = often.where(F.col("text").isNotNull() & (F.col("n") >= SAME * F.col("pages")))
+    # A leaf has at most 1 / SAME times as many such texts as a page has texts in it.
+    same = often.groupBy(*leaf).agg(F.sum("chars").alias("fixed"), F.collect_list("text").alias("same"))
+    told = totals.join(same, leaf, "left").withColumn("fixed", F.coalesce("fixed", F.lit(0)))
+    fields = F.struct("leaf", "pages", "chars", "linked", "fixed", "same")
+    return told.groupBy("host", "own").agg(F.to_json(F.collect_list(fields)).alias("judged"))
+
+
 def extract_pages(df: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """page_id, url, text, n_chars (code points) and fits (whether the wrapper fits) of every row.
 
@@ -530,13 +638,17 @@ def extract_pages(df: DataFrame, key: str = "page_id", url: str = "url", source:
     found = _streams(pages.select("url", "html")).distinct()
     folded = staged(map_batches(found, _make_fold, "host string, stream string, folded string"), "page-streams")
     wrappers = staged(infer_wrappers(folded.select("host", "folded").distinct()), "wrappers")
-    plans = folded.join(wrappers.select("host", F.col("folded").alias("wrapper")), "host")
-    plans = map_batches(plans.select("host", "stream", "wrapper"), _make_plan, "host string, stream_id long, slots array<int>, fits boolean")
+    paths = folded.join(wrappers.select("host", F.col("folded").alias("wrapper")), "host")
+    paths = map_batches(paths.select("host", "stream", "wrapper"), _make_path, PATH_SCHEMA)
+    paths = staged(paths, "page-paths")
+    facts = map_batches(pages.select("url", "html"), _make_facts, FACT_SCHEMA)
+    judged = staged(judge_leaves(facts, paths), "leaves-judged")
+    plans = map_batches(paths.join(judged, ["host", "own"], "left"), _make_plan, "host string, stream_id long, plan string, fits boolean")
     plans = staged(plans, "page-plans")
     keyed = map_batches(pages, _make_keyed, f"page_id {kind}, url string, html string, host string, stream_id long")
     joined = keyed.join(plans, ["host", "stream_id"], "left")
     return map_batches(
-        joined.select("page_id", "url", "html", "slots", "fits"),
+        joined.select("page_id", "url", "html", "plan", "fits"),
         _make_text,
         f"page_id {kind}, url string, text string, n_chars long, fits boolean",
     )
@@ -555,26 +667,57 @@ def _make_fold() -> Callable[[pa.RecordBatch], dict]:
     return run
 
 
-def _make_plan() -> Callable[[pa.RecordBatch], dict]:
+PATH_SCHEMA = "host string, stream_id long, own long, leaves array<int>, signs array<string>"
+FACT_SCHEMA = "host string, page_hash long, stream_id long, texts array<long>, chars array<int>, linked array<int>"
+
+
+def _make_path() -> Callable[[pa.RecordBatch], dict]:
     read: dict[str, list] = {}
 
     def run(batch: pa.RecordBatch) -> dict:
-        ids, slots, fits = [], [], []
+        ids, owns, leaves, signs = [], [], [], []
         for s, w in zip(values(batch, "stream").to_pylist(), values(batch, "wrapper").to_pylist(), strict=True):
             if len(read) > 64:
                 read.clear()
             wrapper = read.setdefault(w, json.loads(w))
             tokens = s.split(" ") if s else []
             path = read_through(wrapper, tokens)
-            own = tokens if path is None else None
+            number = stream_id(tokens)
+            ids.append(number)
+            owns.append(0 if path is not None else number or 1)
             if path is None:  # the page is then read through the wrapper of its own stream
-                wrapper, path = tokens, list(range(len(tokens)))
-            leaves = [leaf for leaf, t in zip(path, tokens, strict=True) if t.startswith("#")]
-            keep = article_leaves(wrapper, set(leaves))
-            ids.append(stream_id(tokens))
-            slots.append([i for i, leaf in enumerate(leaves) if leaf in keep])
-            fits.append(own is None)
-        return {"host": values(batch, "host"), "stream_id": ids, "slots": slots, "fits": fits}
+                path = list(range(len(tokens)))
+            found = [(leaf, slot_sign(t)) for leaf, t in zip(path, tokens, strict=True) if t.startswith("#")]
+            leaves.append([leaf for leaf, _ in found])
+            signs.append([sign for _, sign in found])
+        return {"host": values(batch, "host"), "stream_id": ids, "own": owns, "leaves": leaves, "signs": signs}
+
+    return run
+
+
+def _make_facts() -> Callable[[pa.RecordBatch], dict]:
+    def run(batch: pa.RecordBatch) -> dict:
+        sources = [s or "" for s in values(batch, "html").to_pylist()]
+        pages = [Page(s) for s in sources]
+        facts = [slot_facts(p) for p in pages]
+        return {
+            "host": [host_of(u) for u in values(batch, "url").to_pylist()],
+            "page_hash": [text_id(s) for s in sources],
+            "stream_id": [stream_id(p.tokens) for p in pages],
+            "texts": [[x[0] for x in f] for f in facts],
+            "chars": [[x[1] for x in f] for f in facts],
+            "linked": [[x[2] for x in f] for f in facts],
+        }
+
+    return run
+
+
+def _make_plan() -> Callable[[pa.RecordBatch], dict]:
+    def run(batch: pa.RecordBatch) -> dict:
+        columns = [values(batch, x).to_pylist() for x in ("signs", "leaves", "judged")]
+        plans = [json.dumps(choose_slots(s, n, json.loads(j) if j else [])) for s, n, j in zip(*columns, strict=True)]
+        fits = [x == 0 for x in values(batch, "own").to_pylist()]
+        return {"host": values(batch, "host"), "stream_id": values(batch, "stream_id"), "plan": plans, "fits": fits}
 
     return run
 
@@ -593,11 +736,20 @@ def _make_keyed() -> Callable[[pa.RecordBatch], dict]:
     return run
 
 
+def _planned_text(page: Page, plan: str | None) -> str:
+    kept, same = json.loads(plan) if plan else ([], [])
+    if same:
+        out = {(i, t) for i, t in same}
+        facts = slot_facts(page)
+        kept = [i for i in kept if (i, facts[i][0]) not in out]
+    return page_text(page, kept)
+
+
 def _make_text() -> Callable[[pa.RecordBatch], dict]:
     def run(batch: pa.RecordBatch) -> dict:
         found = [
-            page_text(Page(s or ""), k or ())
-            for s, k in zip(values(batch, "html").to_pylist(), values(batch, "slots").to_pylist(), strict=True)
+            _planned_text(Page(s or ""), k)
+            for s, k in zip(values(batch, "html").to_pylist(), values(batch, "plan").to_pylist(), strict=True)
         ]
         fits = values(batch, "fits")
         return {

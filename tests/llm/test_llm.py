@@ -151,6 +151,29 @@ def test_marks_around_articles(spark):
     assert [got[i] for i in range(n + 2, len(rows))] == [""] * len(out)
 
 
+def test_unmarked_template(spark):
+    """Equal tags on all hosts: what a host's pages repeat is its template's, wherever it stands."""
+    def body(first, second, third):
+        return f"<body><div>{first}</div><div><p>{second}</p></div><div><a href=/>{third}</a></div></body>"
+
+    rows, want = [], {}
+    for i in range(6):
+        own = [f"Story {i} with words of its own {i * 7}." for _ in range(2)]
+        rows += [(i, f"https://a.com/{i}", body("Buy our things today.", own[0], f"More {i}")), (100 + i, f"https://b.com/{i}", body(own[1], "We moved to a new house.", "Home"))]
+        want |= {i: own[0], 100 + i: own[1]}
+    # Equal elements side by side are one slot of the wrapper; the notice among them still goes, main or not.
+    for i in range(6):
+        for k, tag in ((200, "section"), (300, "main")):
+            rows.append((k + i, f"https://c{k}.com/{i}", f"<{tag}><p>Read this notice first.</p><p>Story {i} goes here.</p><p>It ends {i}.</p></{tag}>"))
+            want[k + i] = f"Story {i} goes here.\nIt ends {i}."
+    # Copies of one page, and a host with two pages, tell nothing.
+    rows += [(400 + i, "https://d.com/x", body("One.", "Two.", "Home")) for i in range(5)]
+    rows += [(410 + i, f"https://e.com/{i}", body("One.", f"Two {i}.", "Home")) for i in range(2)]
+    want |= {400 + i: "One.\nTwo." for i in range(5)} | {410 + i: f"One.\nTwo {i}." for i in range(2)}
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_lines(spark, odd, docs):
     got = {(r.doc_id, r.text): (r.n_lines, r.n_removed) for r in dedup_lines(odd).collect()}
     assert got[(6, "e")] == (4, 3) and got[(5, "a\nb\nc\nd")] == (4, 0) and got[(1, None)] == (0, 0) and got[(2, "")] == (1, 0)
