@@ -1,6 +1,7 @@
 """Secret scans: candidates by form, false positives removed by a random forest, in DataFrame functions and ML only.
 
-Candidates are long words with digits, and values that follow a credential's name.  The forest looks at a candidate's
+Candidates are the runs of words that have a long one and digits, and whole values that follow a credential's name or
+stand at a password's place in a URL; a word has as many as it holds.  The forest looks at a candidate's
 length, its characters and their transitions, how much of it dictionary words cover, the path it is from and the words
 beside it.  It is trained from labelled findings; without a table of one's own, from findings made by rule.
 """
@@ -13,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.rx import let
+
 #: Labelled findings that the forest is trained on at most, trees and their depth.
 MAX_FINDINGS, TREES, DEPTH = 20_000, 40, 8
 MIN_LONG, MIN_VALUE = 16, 6
@@ -20,7 +23,7 @@ THRESHOLD = 0.5
 
 # Names of credentials, names of harmless digests and numbers, words of paths with made-up values, and
 # a small dictionary of words found in identifiers and placeholders.
-CREDENTIAL = "token|secret|passw(or)?d|passwd|pwd|api_?-?key|apikey|access_?key|private_?key|auth|bearer|credential|client_?secret|conn(ection)?_?string"
+CREDENTIAL = "token|secret|passw(?:or)?d|passwd|pwd|api_?-?key|apikey|access_?key|private_?key|auth|bearer|credential|client_?secret|conn(?:ection)?_?string"
 HARMLESS = "commit|sha|sha1|sha256|md5|checksum|digest|hash|etag|integrity|revision|uuid|guid|build|version|trace|span|request|order|invoice|isbn|phone|tel|card|account|serial|image|blob|tree|parent"
 MADE_UP_PATH = "test|example|sample|fixture|mock|doc|demo|spec|tutorial"
 DICTIONARY = (
@@ -36,37 +39,91 @@ FEATURES = (
     "dictionary", "known_form", "quoted", "assigned", "credential", "harmless", "made_up_path", "repeats",
 )
 _TOKEN = r"[A-Za-z0-9+/_\-]{6,}={0,2}"
+# Parts of a word, first form first: a credential's name and its whole value (in quotes, or up to a quote, or to a sign
+# before the next name); user and password of a URL; a run, with signs and a short name before it.  A name of six or
+# more characters is a run itself.  The possessive loops do not recurse: words have any length.
+_NEXT = r"[\\\"'`]*[\w.\-]+[\\\"'`]*[:=]"
+_VALUE = rf"(?:\"([^\"]{{6,}})\"|'([^']{{6,}})'|`([^`]{{6,}})`|[\"'`]?((?:[^\s\"'`,;&?|\\]++|\\(?![\"'`])|[,;&?|](?!{_NEXT}))++))"
+_NAMED = rf"(?i:[\w.\-]{{0,100}}?(?:{CREDENTIAL}))\\?[\"'`]?[:=]+>?\\?{_VALUE}"
+_USERINFO = r"://[^\s/:@]*:([^\s/]{6,})@"
+_RUN = r"(?:\b[A-Za-z_]\w{0,4})?\\?[\"'`]?[:=]*\\?[\"'`]?[A-Za-z0-9+/_\-]{6,}(?:={1,2}(?![\w\"'`+/\-]))?[\"'`]?"
+_PART = f"{_NAMED}|{_USERINFO}|{_RUN}"
+_END = r"[.,:;)\]}>]+$"
 _KNOWN = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^xox[abp]-|^sk_(live|test)_|^eyJ[A-Za-z0-9_\-]{10,}|^AIza[A-Za-z0-9_\-]{30,}"
 
 
 def candidates(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """doc_id, word_at, candidate, word, left_words, right_word and path of every candidate of every row."""
+    """doc_id, word_at, candidate, word, left_words, right_word and path of every candidate of every row.
+
+    ``word`` is the candidate's part of the word at ``word_at``; the parts beside it are its neighbours.  A value
+    that is taken whole gives its long runs as candidates too.
+    """
     body, where = F.col(text), F.coalesce(F.col(path), F.lit("")) if path else F.lit("")
-    hopeful = df.where(body.rlike(r"[A-Za-z0-9+/_\-]{16,}") & body.rlike("[0-9]") | body.rlike(f"(?i)({CREDENTIAL})"))
+    hopeful = df.where(
+        body.rlike(r"[A-Za-z0-9+/_\-]{16,}") & body.rlike("[0-9]") | body.rlike(f"(?i)({CREDENTIAL})") | body.rlike(_USERINFO)
+    )
     split = hopeful.select(F.col(key).alias("doc_id"), where.alias("path"), F.split(body, r"\s+").alias("w"))
 
     def before(i: Column, n: int) -> Column:
         return F.coalesce(F.get(F.col("w"), i - n), F.lit(""))
 
+    def is_value(i: Column) -> Column:
+        named = F.concat_ws(" ", before(i, 2), before(i, 1))
+        return (F.length(F.get(F.col("w"), i)) >= MIN_VALUE) & named.rlike(f"(?i)({CREDENTIAL})[\"']?\\s*[:=]+$")
+
     def hopeful_word(i: Column) -> Column:
         word = F.get(F.col("w"), i)
         long = (F.length(word) >= MIN_LONG) & word.rlike(r"[A-Za-z0-9+/_\-]{16,}") & word.rlike("[0-9]")
-        named = F.concat_ws(" ", before(i, 2), before(i, 1))
-        value = (F.length(word) >= MIN_VALUE) & named.rlike(f"(?i)({CREDENTIAL})[\"']?\\s*[:=]+$")
-        inside = word.rlike(f"(?i)({CREDENTIAL})[\"']?[:=]+[\"']?\\S{{6,}}")
-        return long | value | inside
+        inside = word.rlike(f"(?i)({CREDENTIAL})\\\\?[\"'`]?[:=]+>?\\\\?[\"'`]?\\S{{6,}}")
+        return long | is_value(i) | inside | word.rlike(_USERINFO)
 
     at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), hopeful_word)
     rows = split.select("doc_id", "path", "w", F.explode(at).alias("word_at"))
-    word = F.get(F.col("w"), F.col("word_at"))
-    value = F.regexp_replace(word, r"^[^:=]*[:=]+(?=.{6})", "")
+    word, i = F.get(F.col("w"), F.col("word_at")), F.col("word_at")
+    parts = F.when(is_value(i), F.array(word)).otherwise(F.regexp_extract_all(word, F.lit(_PART), F.lit(0)))
+
+    def beside(p: Column) -> Column:
+        none = F.lit("")
+        return F.transform(
+            p, lambda x, k: F.struct(x.alias("word"), F.coalesce(F.get(p, k - 1), none).alias("last"), F.coalesce(F.get(p, k + 1), none).alias("next"))
+        )
+
+    rows = rows.select(
+        "doc_id",
+        "word_at",
+        "path",
+        F.concat_ws(" ", *[before(i, n) for n in (3, 2, 1)]).alias("left_words"),
+        F.coalesce(F.get(F.col("w"), i + 1), F.lit("")).alias("right_word"),
+        is_value(i).alias("whole"),
+        F.explode(let(parts, beside)).alias("part"),
+    )
+    part = F.col("part.word")
+
+    def first(pattern: str, groups: int) -> Column:
+        return F.concat(*[F.regexp_extract(part, pattern, n) for n in range(1, groups + 1)])
+
+    quoted = F.regexp_extract(part, "^([\"'`])(.{6,})\\1[.,:;)\\]}>]*$", 2)
+    bare = F.regexp_replace(F.regexp_replace(part, "^[\"'`]", ""), r"[\"'`]?[.,:;)\]}>]*$", "")
+    named = F.concat(first(f"^{_NAMED}", 3), F.regexp_replace(F.regexp_extract(part, f"^{_NAMED}", 4), _END, ""))
+    value = (
+        F.when(F.col("whole"), F.when(quoted != "", quoted).otherwise(bare))
+        .when(part.rlike(f"^{_NAMED}"), named)
+        .otherwise(F.regexp_extract(part, f"^{_USERINFO}", 1))
+    )
+
+    def all_of(v: Column) -> Column:
+        runs = F.regexp_extract_all(v, F.lit(_TOKEN), F.lit(0))
+        long = F.filter(runs, lambda x: (F.length(x) >= MIN_LONG) & x.rlike("[0-9]") & (x != v))
+        run = F.regexp_extract(part, rf"([A-Za-z0-9+/_\-]{{6,}}={{0,2}})[\"'`]?$", 1)
+        return F.when(F.length(v) >= MIN_VALUE, F.concat(F.array(v), long)).when(v != "", F.array()).otherwise(F.array(run))
+
     found = rows.select(
         "doc_id",
         "word_at",
-        F.regexp_extract(value, _TOKEN, 0).alias("candidate"),
-        word.alias("word"),
-        F.concat_ws(" ", *[before(F.col("word_at"), n) for n in (3, 2, 1)]).alias("left_words"),
-        F.coalesce(F.get(F.col("w"), F.col("word_at") + 1), F.lit("")).alias("right_word"),
+        F.explode(let(value, all_of)).alias("candidate"),
+        part.alias("word"),
+        F.concat_ws(" ", "left_words", F.when(F.col("part.last") != "", F.col("part.last"))).alias("left_words"),
+        F.when(F.col("part.next") != "", F.col("part.next")).otherwise(F.col("right_word")).alias("right_word"),
         "path",
     )
     return found.where(F.length("candidate") >= MIN_VALUE)
@@ -94,7 +151,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "known_form": c.rlike(_KNOWN),
         "quoted": F.col("word").rlike("[\"'`]"),
         "assigned": F.concat_ws(" ", "left_words", "word").rlike(r"[:=]+\s*[\"'`]?[^\s:=]+$"),
-        "credential": beside.rlike(rf"({CREDENTIAL})"),
+        "credential": beside.rlike(rf"({CREDENTIAL})") | F.col("word").rlike(f"^{_USERINFO}"),
         "harmless": beside.rlike(rf"(^|[^a-z0-9])({HARMLESS})([^a-z0-9]|$)"),
         "made_up_path": F.lower(F.col("path")).rlike(MADE_UP_PATH),
     }
@@ -206,7 +263,7 @@ def scan_secrets(
     """Every candidate of every row with the forest's verdict: doc_id, word_at (of words split at white space),
     candidate, word, left_words, right_word, path, length, score and is_secret.
 
-    A row has as many results as candidates; null and empty texts, and texts without candidates, have none.  Null
+    A row has as many results as candidates, and so has a word; null and empty texts, and texts without candidates, have none.  Null
     paths count as empty.  Repeated rows give repeated results.  Other columns are not read.
     """
     model = train(findings if findings is not None else made_findings(df.sparkSession))
