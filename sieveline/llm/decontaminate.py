@@ -12,10 +12,11 @@ from collections import Counter, defaultdict
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.arrow import map_batches, texts, values
+from sieveline.session import staged
 
 WINDOW = 8
 #: Benchmark text that is indexed and sent to the executors at a time; larger benchmarks go in several blocks.
@@ -108,28 +109,46 @@ def find_leaks(
     ``spans`` are the merged word ranges inside occurring windows, ``items`` the distinct ids (as strings) of the
     items that the windows are from.  An item of fewer than ``window`` words is one window; items without words have
     none.  Null texts have no words.  The benchmark's windows are sent to the executors ``block_bytes`` of text at a
-    time, each block in a pass of its own; rows are put together by key and text, so with several blocks rows equal
-    in both become one.  Empty tables give no hits or no rows.
+    time, each block in a pass of its own; with several blocks the rows are written with a number each, by which the
+    blocks' hits come together, so every row returns once, equal ones too.  Empty tables give no hits or no rows.
     """
     bench = benchmark.select(F.col(item).alias("i"), F.col(text).cast("binary").alias("t")).where("t IS NOT NULL")
     total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     names = [c for c in df.columns if c not in ("n_words", "spans", "items")] if carry else [key]
-    parts = []
-    for block in range(blocks):
+    number = "_row"
+    while number in df.columns:
+        number += "_"
+    if blocks > 1:
+        df = df.select(*dict.fromkeys([*names, text])).withColumn(number, F.monotonically_increasing_id())
+        df = staged(df, "leak-rows")
+
+    def block_index(block: int):  # noqa: ANN202
         rows = bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()
         windows = item_windows([(r.i, bytes(r.t)) for r in rows], window)
         counts = token_counts(df, {w for x in windows for w in x}, text)
-        index = df.sparkSession.sparkContext.broadcast(WindowIndex(windows, counts).by_token)
-        parts.append(_scan(df, index, names, text))
+        return df.sparkSession.sparkContext.broadcast(WindowIndex(windows, counts).by_token)
+
     if blocks == 1:
-        return parts[0]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    spans = F.array_sort(F.flatten(F.collect_list("spans")))
-    return found.groupBy(*names, "n_words").agg(
-        _merged(spans).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
+        return _scan(df, block_index(0), names, text)
+    hits = None
+    for block in range(1, blocks):
+        part = _scan(df, block_index(block), [number], text).where(F.size("spans") > 0)
+        hits = part if hits is None else hits.unionByName(part)
+    more = (f"{number}spans", f"{number}items")
+    hits = hits.groupBy(number).agg(
+        F.flatten(F.collect_list("spans")).alias(more[0]), F.flatten(F.collect_list("items")).alias(more[1])
+    )
+    found = _scan(df.join(hits, number, "left"), block_index(0), [*names, *more], text)
+
+    def both(name: str, other: str) -> Column:
+        return F.concat(name, F.coalesce(other, F.slice(name, 1, 0)))
+
+    return found.select(
+        *names,
+        "n_words",
+        _merged(F.array_sort(both("spans", more[0]))).alias("spans"),
+        F.array_distinct(both("items", more[1])).alias("items"),
     )
 
 

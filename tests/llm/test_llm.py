@@ -252,6 +252,20 @@ def test_leaks(spark, block):
     assert find_leaks(df.where("false"), bench).count() == 0
 
 
+@pytest.mark.parametrize("carry", [False, True])
+def test_leaks_repeated_keys(spark, carry):
+    """Rows with one key and as many words stay rows of their own, also with several blocks."""
+    items = [(i, f"w{i} a b c d e f g h i j w{i}") for i in range(6)] + [(7, "short one")]
+    rows = [(1, "short one"), (1, "other two"), (1, "short one"), (None, "w1 a b c d e f g"), (None, "x1 a b c d e f g"), (2, None), (2, None)]
+    rows += [(3, "w2 a b c d e f g h i j w2"), (3, "w3 a b c d e f g h i j w3"), (3, "w3 a b c d e f g h i j w3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit(1))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = find_leaks(df, bench, block_bytes=30, carry=carry)
+    assert got.columns == [*(df.columns if carry else ["doc_id"]), "n_words", "spans", "items"]
+    mine = [(r.doc_id, r.n_words, sum(s["stop"] - s["first"] for s in r.spans), tuple(sorted(r["items"]))) for r in got.collect()]
+    assert sorted(mine, key=str) == brute_leaks(rows, items)
+
+
 def brute_near(docs, size, percent=80):
     sets = {}
     for i, t in docs:
