@@ -10,8 +10,9 @@ hash of its run's words (its span):
 * several, all with the same span: all of their windows do;
 * several with different spans: the windows of these runs are compared one by one, by 128 bits of hash.
 
-The index is a list of immutable runs, each a Parquet table sorted by anchor.  A batch is added as a new run; runs are
-merge-joined with a new batch to find what it shares with history; when there are too many they are merged into one.
+The index is a list of immutable runs, each a Parquet table sorted by anchor.  A batch is added as a new run; when there
+are too many they are merged into one.  ``remove_repeats`` makes an index of its own on each call and groups all its
+runs; nothing joins a new batch with the runs of an index kept from before.
 """
 
 from __future__ import annotations
