@@ -1,7 +1,8 @@
 """Session builder and the shared scratch folder.
 
 On a cluster the scratch folder is the one that ``spark.checkpoint.dir`` names; it must be visible to the driver and
-to all executors.  Only where the setting is missing (tests, a laptop) a folder of this process is used instead.
+to all executors; without it a cluster session is refused.  In local mode (tests, a laptop) a folder of this process is used
+where the setting is missing.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables that all executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sieveline-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -59,5 +63,37 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a table in the shared folder, whatever store it lies in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Intermediate tables of one operator call: ``with Scratch(spark) as kept`` deletes them at the end.
+
+    Only for tables whose readers have been written or checkpointed by then; what a result still reads belongs in
+    ``staged``.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            delete_path(self.spark, path)
+        self.paths = []
+
+    def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        path = table_path(self.spark, name)
+        self.paths.append(path)
+        df.write.options(**options).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
