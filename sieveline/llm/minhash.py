@@ -6,10 +6,21 @@ kept, packed into longs.  Equal bits are counted on the packed words, and the co
 estimates the similarity; pairs far below the threshold go.  The others are compared set by set.
 
 Candidates of a band's bucket are first linked to the bucket's lowest and highest class only: a group of thousands of
-copies costs a link or two for each member.  Where a bucket's members then still lie in different components, the
-pairs between components are found by a prefix filter on the full sets, so a text that is near to none of a large
-group is not compared with all of it, and no candidate pair is left out.  At the threshold a true pair shares no bucket
-with a chance of (1 - 0.8**4)**24 = 3e-6.
+copies costs a link or two for each member.  Where the members of a bucket of four or more then still lie in different
+components, they are compared by what sets them apart.  Such buckets are put together in cells, one for each component
+that is the largest of a bucket.  The shingles that more than half of a cell's members hold are its core; a member's
+rest are the shingles it has beside the core and those of the core that it lacks.  Two sets differ by the symmetric
+difference of their rests, so with ``a`` shingles in the rest of a set of ``n``, and P the percentage, the score
+``s = (100 + P) * a - (100 - P) * n`` says it all:
+
+* two members are linked if and only if their rests share at least ``(s1 + s2) / (2 * (100 + P))`` shingles;
+* members with ``s1 + s2 <= 0`` are linked whatever they share, and then both are linked with the member of the lowest
+  score: one link to it each stands for all of these pairs;
+* of the others, a pair with two members that are linked with the best needs no look.  One of the two is thus far from
+  the core and must share shingles of its rest, rarest first, within prefixes that both scores bound.
+
+A text that is near to none of a large group is so not compared with all of it, and no candidate pair is left out.  At
+the threshold a true pair shares no bucket with a chance of (1 - 0.8**4)**24 = 3e-6.
 """
 
 from __future__ import annotations
@@ -24,7 +35,7 @@ from pyspark.sql import functions as F
 from sieveline.llm.arrow import map_batches, texts, values
 from sieveline.llm.graph import connected_components
 from sieveline.llm.hashing import LOWER, mix, shingle_hashes, word_hashes
-from sieveline.session import staged
+from sieveline.session import Scratch, staged
 
 BANDS, ROWS, BITS = 24, 4, 4
 HASHES = BANDS * ROWS
@@ -134,12 +145,6 @@ def estimate(a: Column, b: Column) -> Column:
     return (equal - F.lit(chance)) / F.lit(1 - chance)
 
 
-def _plausible(na: Column, nb: Column, a: Column, b: Column, percent: int) -> Column:
-    """Sizes that allow the similarity, and an estimate not far below it."""
-    fits = (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & na.isNotNull()
-    return fits & (estimate(a, b) >= F.lit(percent / 100 - ESTIMATE_SLACK))
-
-
 def near_duplicates(
     df: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -148,49 +153,33 @@ def near_duplicates(
     Two rows are linked if 100 * |intersection| >= percent * |union| of their sets of ``size``-word shingles;
     ``component_id`` is the lowest key that a row reaches over links, ``class_id`` the lowest with an equal set.
     Null texts and texts without words have empty sets, are linked with nothing and are kept.  Rows that share a key
-    are one document for the components; rows with a null key are kept and linked with nothing.  Extra columns are
-    not read; an empty table gives no rows.
+    are one document for the components, with the links of all its texts; rows with a null key are kept and linked
+    with nothing.  Extra columns are not read; an empty table gives no rows.
     """
     docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     rows = staged(sketches(docs, size, "doc_id", "text"), "sketches")
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["c1", "c2", "n_shingles"]
-    classes = full.groupBy(*same).agg(F.min("doc_id").alias("class_id"))
-    classes = staged(classes, "classes")
+    classes = staged(full.groupBy(*same).agg(F.min("doc_id").alias("class_id")), "classes")
     heads = full.join(classes.withColumnRenamed("class_id", "doc_id"), [*same, "doc_id"], "left_semi")
-    heads = heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sig")
-    banded = heads.select("id", "n", "sig", F.posexplode("bands").alias("band", "h"))
-    member = F.struct("id", "n", "sig")
-    buckets = banded.groupBy("band", "h").agg(
-        F.min(member).alias("low"), F.max(member).alias("high"), F.count(F.lit(1)).alias("members")
-    )
-    buckets = staged(buckets.where("members > 1"), "buckets")
-    joined = staged(banded.join(buckets, ["band", "h"]), "members")
-    stars = [
-        joined.where(F.col("id") != F.col(f"{end}.id"))
-        .where(_plausible(F.col("n"), F.col(f"{end}.n"), F.col("sig"), F.col(f"{end}.sig"), percent))
-        .select(F.greatest("id", f"{end}.id").alias("u"), F.least("id", f"{end}.id").alias("v"))
-        for end in ("low", "high")
-    ]
-    pairs = staged(stars[0].unionByName(stars[1]).distinct(), "star-pairs")
-    ends = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    sets = _candidate_sets(docs, ends, size)
-    links = staged(_confirmed(pairs, sets, percent), "star-links")
-    found = connected_components(links)
-    # Buckets of three and more whose members are not yet one component: the pairs between components.
-    inner = joined.where("members > 2").select("band", "h", "id", "n")
-    inner = inner.join(found, inner["id"] == found["node"], "left")
-    inner = inner.select("band", "h", "id", "n", F.coalesce("component", "id").alias("c"))
-    mixed = inner.groupBy("band", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-    open_ = staged(inner.join(mixed.select("band", "h"), ["band", "h"]).select("id", "n", "c").distinct(), "open-classes")
-    open_sets = _candidate_sets(docs, open_.select("id"), size)
-    more = _prefix_pairs(open_, open_sets, percent)
-    more = staged(more.join(pairs, ["u", "v"], "left_anti"), "inner-pairs")
-    if more.isEmpty():
-        components = found
-    else:
-        links = links.unionByName(_confirmed(more, open_sets, percent))
+    with Scratch(df.sparkSession) as kept:
+        heads = kept.table(
+            heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sig"), "heads"
+        )
+        members = _bucket_members(heads, kept)
+        sets = _candidate_sets(docs, members.select("id").distinct(), size, kept)
+        stars = members.where("id <> lo").select(F.col("id").alias("u"), F.col("lo").alias("v"))
+        stars = stars.unionByName(members.where("id <> hi").select(F.col("hi").alias("u"), F.col("id").alias("v")))
+        links = kept.table(_confirmed(_plausible(stars.distinct(), heads, percent), sets, percent), "star-links")
         components = connected_components(links)
+        cells = kept.table(_cells(members, components), "cells")
+        more = _cell_pairs(cells, sets, percent, kept)
+        tried = stars.distinct()
+        more = _plausible(more.join(tried, ["u", "v"], "left_anti"), heads, percent)
+        more = kept.table(_confirmed(more, sets, percent), "cell-links")
+        if not more.isEmpty():
+            known = components.select(F.col("node").alias("u"), F.col("component").alias("v"))
+            components = connected_components(known.unionByName(more))
     out = rows.join(classes, same, "left").withColumn(
         "class_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_id"))
     )
@@ -201,37 +190,91 @@ def near_duplicates(
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _prefix_pairs(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of classes (id, n, c) in different components c that share one of their rarest shingles.
-
-    Sets with a similarity of ``percent`` share a shingle among the first ``n - ceil(n * percent / 100) + 1`` of each,
-    in one order for all; with the rarest first, the edits that set a text apart come first, and texts that are near
-    nothing have no partner at all.  Shingles of one class cannot be shared: they take their places in the prefix but
-    no rows.  For each shingle, classes outside of its most frequent component are paired with the others; those
-    inside are not paired with each other.
-    """
-    tokens = classes.join(sets, "id").select("id", "n", "c", F.explode("set").alias("t"))
-    shared = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    ranked = tokens.join(shared, "t").groupBy("id", "n", "c").agg(
-        F.array_sort(F.collect_list(F.struct("f", "t"))).alias("common")
+def _bucket_members(heads: DataFrame, kept: Scratch) -> DataFrame:
+    """h, id, lo, hi and m: the classes of every bucket of two or more, with its lowest and highest and their number."""
+    banded = heads.select("id", F.explode("bands").alias("h"))
+    buckets = banded.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("m"))
+    buckets = kept.table(buckets.where("lo <> hi"), "buckets")
+    return kept.table(banded.join(buckets, "h"), "members")
+
+
+def _plausible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sizes allow the similarity, and whose signatures do not put it far below."""
+    of = [heads.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "uv"]
+    both = pairs.join(of[0], "u").join(of[1], "v")
+    fits = F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent
+    near = estimate(F.col("su"), F.col("sv")) >= F.lit(percent / 100 - ESTIMATE_SLACK)
+    return both.where(fits & near).select("u", "v").distinct()
+
+
+def _cells(members: DataFrame, components: DataFrame) -> DataFrame:
+    """cell, id and c of the classes of buckets that hold several components: c is a class's own component, cell
+    the one that most classes of the bucket belong to.  In buckets of up to three all pairs were star pairs."""
+    inner = members.where("m > 3").select("h", "id")
+    inner = inner.join(components, inner["id"] == components["node"], "left")
+    inner = inner.select("h", "id", F.coalesce("component", "id").alias("c"))
+    by_c = inner.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"))
+    top = by_c.groupBy("h").agg(F.max(F.struct("k", "c"))["c"].alias("cell"), F.count(F.lit(1)).alias("cs"))
+    return inner.join(top.where("cs > 1"), "h").select("cell", "id", "c").distinct()
+
+
+def _cell_pairs(cells: DataFrame, sets: DataFrame, percent: int, kept: Scratch) -> DataFrame:
+    """Pairs (u, v) in one cell and different components of which no link is left out; the module says how."""
+    plus, minus = 100 + percent, 100 - percent
+    held = kept.table(cells.join(sets, "id").select("cell", "id", "c", "set"), "cell-sets")
+    sizes = kept.table(held.groupBy("cell").agg(F.count(F.lit(1)).alias("m")), "cell-sizes")
+    counts = held.select("cell", F.explode("set").alias("t")).groupBy("cell", "t").agg(F.count(F.lit(1)).alias("f"))
+    cores = counts.join(sizes, "cell").where("2 * f > m").groupBy("cell").agg(F.collect_list("t").alias("core"))
+    cores = kept.table(cores, "cores")
+    none = F.array().cast("array<long>")
+    apart = held.join(cores, "cell", "left").withColumn("core", F.coalesce("core", none))
+    rest = F.concat(
+        F.transform(F.array_except("set", "core"), lambda t: F.struct(t.alias("t"), F.lit(True).alias("has"))),
+        F.transform(F.array_except("core", "set"), lambda t: F.struct(t.alias("t"), F.lit(False).alias("has"))),
+    )
+    apart = apart.select("cell", "id", "c", F.size("set").cast("long").alias("n"), rest.alias("rest"))
+    score = F.size("rest") * F.lit(plus) - F.col("n") * F.lit(minus)
+    apart = kept.table(apart.withColumn("s", score), "rests")
+    best = apart.groupBy("cell").agg(F.min(F.struct("s", "id", "c")).alias("best"))
+    best = kept.table(best.select("cell", *[F.col(f"best.{x}").alias(f"best_{x}") for x in ("s", "id", "c")]), "best")
+    apart = apart.join(best, "cell")
+    linked = apart.where("s + best_s <= 0 AND c <> best_c")
+    pairs = [linked.select(F.greatest("id", "best_id").alias("u"), F.least("id", "best_id").alias("v"))]
+    # Shingles of the rests that two or more members share, the rarest first; left: how many are still to come.
+    shown = apart.select("cell", "id", "c", "n", "s", "best_s", F.explode("rest").alias("x"))
+    shown = shown.select("cell", "id", "c", "n", "s", "best_s", "x.t", "x.has")
+    shared = shown.groupBy("cell", "t", "has").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    shared = kept.table(shared, "shared-rests")
+    of = ["cell", "id", "c", "n", "s", "best_s"]
+    ranked = shown.join(shared, ["cell", "t", "has"]).groupBy(*of).agg(
+        F.array_sort(F.collect_list(F.struct("f", "t", "has"))).alias("common")
     )
-    length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
-    taken = F.slice("common", F.lit(1), F.greatest(F.lit(0), length - (F.col("n") - F.size("common"))).cast("int"))
-    prefix = staged(ranked.select("id", "n", "c", F.explode(taken).alias("x")).select("id", "n", "c", "x.t"), "prefixes")
-    by_component = prefix.groupBy("t", "c").agg(F.count(F.lit(1)).alias("k"))
-    most = by_component.groupBy("t").agg(F.max_by("c", "k").alias("top"), F.count(F.lit(1)).alias("cs"))
-    rows = staged(prefix.join(most.where("cs > 1"), "t"), "prefix-rows")
-    a, b = rows.where("c <> top").alias("a"), rows.alias("b")
-    once = (F.col("b.c") == F.col("b.top")) | (F.col("a.id") > F.col("b.id"))
-    fits = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
-    near = (F.col("a.t") == F.col("b.t")) & (F.col("a.c") != F.col("b.c")) & once & fits
-    return a.join(b, near).select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
-
-
-def _candidate_sets(docs: DataFrame, chosen_ids: DataFrame, size: int) -> DataFrame:
-    """id and set of the chosen rows, from the whole texts."""
-    ids = chosen_ids.select(F.col("id").alias("doc_id")).distinct()
-    chosen = docs.join(ids, "doc_id", "left_semi")
+    placed = ranked.select(*of, F.size("common").alias("all"), F.posexplode("common").alias("at", "x"))
+    placed = placed.select(*of, "x.t", "x.has", (F.col("all") - F.col("at")).alias("left"))
+    far = F.col("s") + F.col("best_s") > 0
+    # The least score of a partner: any member's for far ones, a far member's for near ones.
+    least_far = F.greatest(F.lit(1) - F.col("best_s"), F.col("best_s"))
+    reach = F.col("left") * F.lit(2 * plus)
+    placed = placed.withColumn("far", far).withColumn("to_far", reach >= F.col("s") + least_far)
+    placed = kept.table(placed.where((F.col("far") & (reach >= F.col("s") + F.col("best_s"))) | F.col("to_far")), "prefixes")
+    on = ["cell", "t", "has"]
+    for a, b, once in (
+        (placed.where("far"), placed.where("NOT far"), F.lit(True)),
+        (placed.where("far AND to_far"), placed.where("far AND to_far"), F.col("a.id") < F.col("b.id")),
+    ):
+        a, b = a.alias("a"), b.alias("b")
+        near = F.least("a.left", "b.left") * F.lit(2 * plus) >= F.col("a.s") + F.col("b.s")
+        fits = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
+        for x in on:
+            near = near & (F.col(f"a.{x}") == F.col(f"b.{x}"))
+        found = a.join(b, near & fits & once & (F.col("a.c") != F.col("b.c")))
+        pairs.append(found.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")))
+    return kept.table(pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct(), "cell-pairs")
+
+
+def _candidate_sets(docs: DataFrame, ids: DataFrame, size: int, kept: Scratch) -> DataFrame:
+    """id and set of the chosen rows, from the whole texts; an id that has several texts has several sets."""
+    chosen = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make() -> Callable[[pa.RecordBatch], list[dict]]:
@@ -246,7 +289,7 @@ def _candidate_sets(docs: DataFrame, chosen_ids: DataFrame, size: int) -> DataFr
 
         return build
 
-    return staged(map_batches(chosen, make, f"id {kind}, set array<long>").dropDuplicates(["id"]), "candidate-sets")
+    return kept.table(map_batches(chosen, make, f"id {kind}, set array<long>"), "candidate-sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -255,4 +298,4 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = left.join(sets.select(F.col("id").alias("v"), F.col("set").alias("sv")), "v")
     shared = F.size(F.array_intersect("su", "sv")).cast("long")
     union = F.size("su") + F.size("sv") - shared
-    return both.where(shared * 100 >= union * percent).select("u", "v")
+    return both.where(shared * 100 >= union * percent).select("u", "v").distinct()
