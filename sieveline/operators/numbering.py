@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.session import stable
+from sieveline.session import stable, tasks_for
 
 
 def running_total(
@@ -29,8 +29,7 @@ def running_total(
     An empty frame stays empty.  Offsets are joined by broadcast: they hold one row for each range partition and
     group, a number that the caller's partition count bounds.
     """
-    spark = df.sparkSession
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    n = partitions or tasks_for(df)
     base = df.withColumn("_v", F.lit(1).cast("long") if value is None else value.cast("long"))
     base = base.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in order])
     keys = ["_pid", *by]

@@ -63,6 +63,16 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks_for(df: DataFrame, task_bytes: int = 64 << 20) -> int:
+    """A partition count that follows the size of what ``df`` reads: one for each ``task_bytes``, and not fewer than
+    ``spark.sql.shuffle.partitions``.  Sources of unknown size count for nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 60)
+    least = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return max(least, -(-known // task_bytes))
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a table in the shared folder, whatever store it lies in."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
