@@ -172,7 +172,7 @@ def near_duplicates(
         stars = stars.unionByName(members.where("id <> hi").select(F.col("hi").alias("u"), F.col("id").alias("v")))
         links = kept.table(_confirmed(_plausible(stars.distinct(), heads, percent), sets, percent), "star-links")
         components = connected_components(links)
-        cells = kept.table(_cells(members, components), "cells")
+        cells = kept.table(_cells(members, components, kept), "cells")
         more = _cell_pairs(cells, sets, percent, kept)
         tried = stars.distinct()
         more = _plausible(more.join(tried, ["u", "v"], "left_anti"), heads, percent)
@@ -207,15 +207,17 @@ def _plausible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     return both.where(fits & near).select("u", "v").distinct()
 
 
-def _cells(members: DataFrame, components: DataFrame) -> DataFrame:
+def _cells(members: DataFrame, components: DataFrame, kept: Scratch) -> DataFrame:
     """cell, id and c of the classes of buckets that hold several components: c is a class's own component, cell
     the one that most classes of the bucket belong to.  In buckets of up to three all pairs were star pairs."""
     inner = members.where("m > 3").select("h", "id")
     inner = inner.join(components, inner["id"] == components["node"], "left")
-    inner = inner.select("h", "id", F.coalesce("component", "id").alias("c"))
+    inner = kept.table(inner.select("h", "id", F.coalesce("component", "id").alias("c")), "bucket-components")
     by_c = inner.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"))
     top = by_c.groupBy("h").agg(F.max(F.struct("k", "c"))["c"].alias("cell"), F.count(F.lit(1)).alias("cs"))
-    return inner.join(top.where("cs > 1"), "h").select("cell", "id", "c").distinct()
+    # A table of its own, so that Spark can split a hot bucket's members in the join.
+    top = kept.table(top.where("cs > 1").select("h", "cell"), "bucket-tops")
+    return inner.join(top, "h").select("cell", "id", "c").distinct()
 
 
 def _cell_pairs(cells: DataFrame, sets: DataFrame, percent: int, kept: Scratch) -> DataFrame:
