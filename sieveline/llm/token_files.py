@@ -1,8 +1,8 @@
 """Token ids in Parquet: list columns, dictionary or delta encoding, small row groups and pages with indexes.
 
 The files hold one row for each document, in ascending order of its key over all files (their names sort in the same
-order), with the token count and checksum as columns of their own: those can be read without the ids.  Row groups
-and pages are small enough that a reader with a range of keys skips what it does not need by the page index.
+order), with the token count as a column of its own, which can be read without the ids.  Row groups and pages are small
+enough that a reader with a range of keys skips what it does not need by the page index.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sieveline.llm.arrow import map_batches, values
 from sieveline.llm.tokens import worker_encoder
 from sieveline.operators.numbering import running_total
-from sieveline.session import stable
+from sieveline.session import stable, tasks_for
 
 __all__ = ["read_tokens", "token_index", "tokenize_table", "write_tokens"]
 
@@ -29,7 +29,8 @@ ENCODINGS = {
 }
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 128 << 10
-TOKEN_SCHEMA = "doc_id long, n_tokens long, ids array<int>"
+#: Text bytes for each file, so that the number of tasks follows the input.
+FILE_BYTES = 64 << 20
 
 
 def tokenize_table(
@@ -60,7 +61,8 @@ def tokenize_table(
 
         return encode
 
-    return map_batches(df.select(key, text), make, TOKEN_SCHEMA)
+    kind = df.schema[key].dataType.simpleString()
+    return map_batches(df.select(key, text), make, f"doc_id {kind}, n_tokens long, ids array<int>")
 
 
 def write_tokens(
@@ -77,11 +79,10 @@ def write_tokens(
 ) -> None:
     """Encode all texts and write the token files under ``out`` in ascending order of the key.
 
-    Ids must be below 2**31.  Null keys come first.  Rows that share a key stand next to each other.  An empty table
-    writes files without rows.  Extra columns are not read.
+    Ids must be below 2**31; keys may be of any type that orders.  Null keys come first.  Rows that share a key stand
+    next to each other, in any order.  An empty table writes files without rows.  Extra columns are not read.
     """
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    n = tasks_for(df, FILE_BYTES)
     slim = df.select(F.col(key), F.col(text)).repartitionByRange(n, F.col(key).asc_nulls_first())
     slim = slim.sortWithinPartitions(F.col(key).asc_nulls_first())
     rows = tokenize_table(slim, path, spaced, end_id, key, text)
@@ -96,12 +97,17 @@ def write_tokens(
 
 def read_tokens(spark: SparkSession, out: str, ids: bool = True) -> DataFrame:
     """The token files' rows; without ids only the small columns are read."""
-    rows = spark.read.schema(TOKEN_SCHEMA).parquet(out)
+    rows = spark.read.parquet(out)
     return rows if ids else rows.drop("ids")
 
 
 def token_index(spark: SparkSession, out: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 from the files: counts and checksums of the ids that stand there."""
+    """doc_id, start, n_tokens, ids_crc32 from the files: counts and checksums of the ids that stand there.
+
+    ``start`` counts the ids before a row in the files' order, also where rows share a key.
+    """
+    rows = read_tokens(spark, out).select("doc_id", "ids", "_metadata.file_name", "_metadata.row_index")
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def make() -> Callable[[pa.RecordBatch], dict]:
         def check(batch: pa.RecordBatch) -> dict:
@@ -109,10 +115,12 @@ def token_index(spark: SparkSession, out: str) -> DataFrame:
             flat = memoryview(np.ascontiguousarray(column.values.to_numpy(zero_copy_only=False), dtype="<i4")).cast("B")
             offsets = column.offsets.to_numpy().astype(np.int64)
             crcs = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            return {"doc_id": values(batch, "doc_id"), "n_tokens": np.diff(offsets), "ids_crc32": crcs}
+            named = {n: values(batch, n) for n in ("doc_id", "file_name", "row_index")}
+            return named | {"n_tokens": np.diff(offsets), "ids_crc32": crcs}
 
         return check
 
-    slim = map_batches(read_tokens(spark, out).select("doc_id", "ids"), make, "doc_id long, n_tokens long, ids_crc32 long")
-    placed = running_total(stable(slim), ["doc_id", "ids_crc32"], value=F.col("n_tokens"), name="start")
+    schema = f"doc_id {kind}, file_name string, row_index long, n_tokens long, ids_crc32 long"
+    slim = stable(map_batches(rows, make, schema))
+    placed = running_total(slim, ["doc_id", "file_name", "row_index"], value=F.col("n_tokens"), name="start")
     return placed.select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -2,12 +2,14 @@
 
 Both vocabularies used here split a text into words before they merge, and no word spans certain borders.  So a text
 is cut at such borders, each distinct unit is encoded once by the tokenizers library, and a text's ids are its units'
-ids in a row.  Texts for which the borders are not sure go to the library whole.
+ids in a row.  Texts for which the borders are not sure go to the library whole.  The library works as it does by
+default: strings of special tokens in a text become these tokens.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import sys
 import types
@@ -25,19 +27,24 @@ JOINED = 256
 
 
 def _kinds() -> bytes:
-    """The kind of each Latin-1 character: s space, P full stop or comma, x letter or digit, Q any other sign."""
+    """The kind of each Latin-1 character: _ the space, s other white space, P full stop or comma, x letter or digit,
+    Q any other sign."""
     out = bytearray(b"Q" * 256)
     for c in range(256):
-        if chr(c).isspace() or c < 32:
+        if chr(c).isspace() and not 0x1C <= c <= 0x1F:
             out[c] = ord("s")
         elif chr(c).isalpha() and chr(c) not in "\xaa\xb5\xba" or "0" <= chr(c) <= "9":
             out[c] = ord("x")
+    out[ord(" ")] = ord("_")
     out[ord(".")] = out[ord(",")] = ord("P")
     return bytes(out)
 
 
 _KINDS = _kinds()
-_GLUED = (b"PP", b"PQ", b"QP", b"sP")
+_GLUED = (b"PP", b"PQ", b"QP", b"sP", b"_P")
+#: A space after other white space, or after one: the borders of such a run depend on all of it.
+_RUNS = (b"s_", b"__")
+_RUN = re.compile(r"[\s\u180e\u200b\ufeff] ")
 
 
 def tokenizer_path(name: str) -> str:
@@ -63,9 +70,9 @@ class UnitEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     ``spaced`` is True for a byte-level vocabulary, whose words begin with their space: a text is cut before each
-    single space.  Inside a run of spaces the last one belongs to the next word but the others do not, so texts with
-    two spaces in a row are encoded whole.  It is False for a vocabulary that drops white space: a text is cut at
-    spaces and line ends.  Special tokens' strings in a text are ordinary text.
+    single space.  Inside a run of white space the last space belongs to the next word but the others do not, so texts
+    with a space right after other white space are encoded whole, and so are texts that hold a special token's string.
+    It is False for a vocabulary that drops white space: a text is cut at spaces and line ends.
     """
 
     def __init__(self, path: str, spaced: bool) -> None:
@@ -73,7 +80,7 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.spaced = spaced
         self.cache: dict[str, bytes] = {}
         names = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -114,15 +121,28 @@ class UnitEncoder:
                 out += self._encode(group)
         return out
 
-    def _units(self, text: str) -> list[str]:
-        """The text's units.  Full stops and commas that touch no other sign are units with what follows them: words
-        that end a sentence and words inside it are then the same units."""
+    def _kinds_of(self, text: str) -> bytes:
+        """The text's characters by kind; empty if some are beyond Latin-1."""
         try:
-            kinds = text.encode("latin-1").translate(_KINDS)
-            apart = not any(x in kinds for x in _GLUED) and "\x01" not in text
+            return text.encode("latin-1").translate(_KINDS)
         except UnicodeEncodeError:
-            apart = False
+            return b""
+
+    def _whole(self, text: str, kinds: bytes) -> bool:
+        """Whether a text for a vocabulary with spaces has borders that are not sure."""
+        if "\x01" in text or any(x in text for x in self.special):
+            return True
+        if kinds:
+            return any(x in kinds for x in _RUNS)
+        return _RUN.search(text) is not None
+
+    def _units(self, text: str, kinds: bytes) -> list[str]:
+        """The text's units.  Full stops and commas that touch no other sign are units with what follows them: words
+        that end a sentence and words inside it are then the same units."""
+        apart = bool(kinds) and not any(x in kinds for x in _GLUED)
         if not self.spaced:
+            if apart and "<" in text:
+                apart = not any(x.lower() in text.lower() for x in self.special)
             if apart:
                 text = text.lower().replace(".", " . ").replace(",", " , ")
             return text.replace("\n", " ").split(" ")
@@ -151,10 +171,11 @@ class UnitEncoder:
         open_: list[tuple[int, list[str]]] = []
         whole, missing, seen = [], set(), 0
         for i, text in enumerate(texts):
-            if self.spaced and "  " in text:
+            kinds = self._kinds_of(text)
+            if self.spaced and self._whole(text, kinds):
                 whole.append(i)
                 continue
-            units = self._units(text)
+            units = self._units(text, kinds)
             ids = list(map(known, units))
             seen += len(ids)
             if None in ids:
@@ -176,7 +197,7 @@ class UnitEncoder:
 
     def unit_ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[bytes]]:
         """The texts as numbers of units, and each unit's ids; only for vocabularies that drop white space."""
-        cut = [self._units(t) for t in texts]
+        cut = [self._units(t, self._kinds_of(t)) for t in texts]
         units = list(dict.fromkeys(chain.from_iterable(cut)))
         number = dict(zip(units, range(len(units)), strict=True))
         empty = number.get("", -1)
