@@ -74,7 +74,7 @@ def retrieve(
     score is then 0.  Vectors without a row are left out.
     """
     lx, r = lexicon or L.Lexicon(), settings or L.Retrieval()
-    dense = dense_topn(vectors, query_vectors, "query_id", "qv", r.top_n_dense).drop("dense_rank")
+    dense = staged(dense_topn(vectors, query_vectors, "query_id", "qv", r.top_n_dense).drop("dense_rank"), "dense-top")
     scores = sparse_scores(index, queries, "query_id", "terms")
     sparse = sparse_topn(index, scores, queries, "query_id", r.top_n_bm25).select("query_id", "row_id")
     ids = staged(dense.select("query_id", "row_id").unionByName(sparse).distinct(), "candidates")

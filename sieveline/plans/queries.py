@@ -16,13 +16,10 @@ from sieveline.functions import text as T
 from sieveline.operators import labels as LB
 from sieveline.operators.chunk import chunk_papers
 from sieveline.operators.dedupe import dedupe_report, diversify, number_kept
-from sieveline.operators.index import build_sparse, dense_topn, sparse_scores, sparse_topn
-from sieveline.operators.retrieve import analyse_queries, hits_table, prepare_rows, retrieve
-from sieveline.plans import agent as AG
+from sieveline.operators.index import DenseIndex, SparseIndex, build_sparse, dense_topn, sparse_scores, sparse_topn
 from sieveline.plans import evaluate as EV
-from sieveline.session import read_table, staged
+from sieveline.session import read_table, staged, table_path
 from sieveline.sources.articles import articles
-from sieveline.sources.providers import hashing_vectors
 from sieveline.streaming.ingest import ingest_stream, windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -404,46 +401,55 @@ st AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM d),
 p AS (SELECT row_id, dl, unnest(toks) AS term FROM d), tf AS (SELECT term, row_id, dl, count(*) AS tf FROM p GROUP BY 1, 2, 3),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), i0 AS (SELECT term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS idf0 FROM df, st),
 idf AS (SELECT term, df, CASE WHEN idf0 < 0 THEN 0.25 * (SELECT avg(idf0) FROM i0) ELSE idf0 END AS idf FROM i0)"""
-SCORES = f"""{BM25}, q AS (SELECT item_id AS query_id, unnest({TOKS}) AS term FROM benchmark WHERE item_id < 5), qn AS (SELECT query_id, term, count(*) AS qn FROM q GROUP BY 1, 2),
+SCORES = f"""{BM25}, q AS (SELECT item_id AS query_id, unnest({TOKS}) AS term FROM benchmark), qn AS (SELECT query_id, term, count(*) AS qn FROM q GROUP BY 1, 2),
 s AS (SELECT query_id, row_id, sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM qn JOIN idf USING (term) JOIN tf USING (term), st GROUP BY 1, 2)"""
 
 
 @query(f"WITH {BM25} SELECT (SELECT n_docs FROM st) AS n_docs, (SELECT avgdl FROM st) AS avgdl, count(*) AS n_terms, sum(df)::BIGINT AS postings, round(sum(idf), 4) AS sum_idf FROM idf")
 def bm25_index_stats(spark: SparkSession, sf: str) -> DataFrame:
-    x = build_sparse(docs(spark, sf), "doc_id", "text")
+    """The stored index's figures, from an index that was saved and loaded."""
+    path = table_path(spark, "sparse-index")
+    build_sparse(docs(spark, sf), "doc_id", "text").save(path)
+    x = SparseIndex.load(spark, path)
     t = x.terms.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("postings"), F.round(F.sum("idf"), 4).alias("sum_idf"))
-    return x.stats.crossJoin(F.broadcast(t))
+    return x.stats.crossJoin(F.broadcast(t))  # one row
+
+
+def items(spark: SparkSession, sf: str) -> DataFrame:
+    """All benchmark items as a batch of queries: a stated query set."""
+    return read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _questions(spark: SparkSession, sf: str, n: int | None = 5) -> DataFrame:
-    """The benchmark's first items as a batch of queries: a stated query set."""
-    b = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return b if n is None else b.where(F.col("query_id") < n)
+def vectors_of(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"))
 
 
 @query(f"WITH {SCORES}, z AS (SELECT query_id, row_id, coalesce(bm25, 0) AS bm25 FROM (SELECT DISTINCT query_id FROM q) CROSS JOIN d LEFT JOIN s USING (query_id, row_id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, row_id DESC) AS rank FROM z) SELECT query_id, row_id, round(bm25, 6) AS bm25, rank::INT AS rank FROM r WHERE rank <= 20")
 def bm25_topn(spark: SparkSession, sf: str) -> DataFrame:
-    """The 20 best documents for each of five queries."""
+    """The 20 best documents for each benchmark item."""
     x = build_sparse(docs(spark, sf), "doc_id", "text")
-    qs = _questions(spark, sf).select("query_id", T.tokens(F.col("text")).alias("terms"))
-    scores = sparse_scores(x, qs, "query_id", "terms").withColumn("bm25", F.round("bm25", 9))
-    top = sparse_topn(x, scores, qs, "query_id", 20)
+    qs = items(spark, sf).select("query_id", T.tokens(F.col("text")).alias("terms"))
+    top = sparse_topn(x, sparse_scores(x, qs, "query_id", "terms"), qs, "query_id", 20)
     return top.select("query_id", "row_id", F.round("bm25", 6).alias("bm25"), F.col("bm25_rank").alias("rank"))
 
 
-@query("WITH v AS (SELECT vec_id AS row_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.row_id AS query_id, v.row_id, round(list_dot_product(q.v, v.v), 9) AS dense FROM v q, v WHERE q.row_id < 5), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, row_id) AS rank FROM s) SELECT query_id, row_id, round(dense, 6) AS dense, rank::INT AS rank FROM r WHERE rank <= 20")
+_ROWS_DENSE = "v AS (SELECT vec_id AS row_id, embedding::DOUBLE[] AS v FROM embeddings)"
+
+
+@query(f"WITH {_ROWS_DENSE}, s AS (SELECT q.row_id AS query_id, v.row_id, round(list_dot_product(q.v, v.v), 9) AS dense FROM v q, v WHERE q.row_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, row_id) AS rank FROM s) SELECT query_id, row_id, round(dense, 6) AS dense, rank::INT AS rank FROM r WHERE rank <= 20")
 def dense_top(spark: SparkSession, sf: str) -> DataFrame:
-    """The 20 nearest vectors of five."""
-    e = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"))
-    top = dense_topn(e, e.where("row_id < 5").select(F.col("row_id").alias("query_id"), F.col("vec").alias("qv")), "query_id", "qv", 20)
+    """The 20 nearest vectors of every vector whose id is divisible by 50, from a stored index."""
+    e = vectors_of(spark, sf)
+    asked = e.where("row_id % 50 = 0").select(F.col("row_id").alias("query_id"), F.col("vec").alias("qv"))
+    top = DenseIndex.build(e, "row_id", "vec").search(asked, "query_id", "qv", 20)
     return top.select("query_id", "row_id", F.round("dense", 6).alias("dense"), F.col("dense_rank").alias("rank"))
 
 
 FLAG = f"""WITH {SCORES}, sr AS (SELECT query_id, row_id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, row_id DESC) AS r FROM s),
-v AS (SELECT vec_id AS row_id, embedding::DOUBLE[] AS v FROM embeddings), dv AS (SELECT q.row_id AS query_id, v.row_id, round(list_dot_product(q.v, v.v), 9) AS dense FROM v q, v WHERE q.row_id < 5),
+{_ROWS_DENSE}, dv AS (SELECT q.row_id AS query_id, v.row_id, round(list_dot_product(q.v, v.v), 9) AS dense FROM v q, v WHERE q.row_id IN (SELECT item_id FROM benchmark)),
 dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, row_id) AS r FROM dv),
 ids AS (SELECT query_id, row_id FROM sr WHERE r <= 100 UNION SELECT query_id, row_id FROM dr WHERE r <= 100),
-c AS (SELECT query_id, row_id, source, {FP} AS fp, coalesce(dr.dense, 0) AS dense, coalesce(s.bm25, 0) AS bm25 FROM ids LEFT JOIN (SELECT * FROM dr WHERE r <= 100) dr USING (query_id, row_id) LEFT JOIN s USING (query_id, row_id) JOIN documents ON doc_id = row_id),
+c AS (SELECT query_id, row_id, source, {FP} AS fp, coalesce(dr.dense, 0) AS dense, coalesce(round(s.bm25, 9), 0) AS bm25 FROM ids LEFT JOIN (SELECT * FROM dr WHERE r <= 100) dr USING (query_id, row_id) LEFT JOIN s USING (query_id, row_id) JOIN documents ON doc_id = row_id),
 f AS (SELECT *, round(dense + 0.1 * bm25 / 20, 6) AS score FROM c), h AS (SELECT *, row_number() OVER (PARTITION BY query_id, fp ORDER BY score DESC, row_id) AS rh FROM f),
 pp AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, row_id) AS rp FROM h WHERE rh <= 1), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank FROM pp WHERE rp <= 1)
 SELECT query_id, row_id, source, score, rank::INT AS rank FROM k WHERE rank <= 10"""
@@ -451,60 +457,24 @@ SELECT query_id, row_id, source, score, rank::INT AS rank FROM k WHERE rank <= 1
 
 @query(FLAG)
 def hybrid_minimum(spark: SparkSession, sf: str) -> DataFrame:
-    """Flagship: sparse and dense candidates of five queries, fused and diversified by text and source."""
+    """Flagship: sparse and dense candidates of all benchmark items, fused and diversified by text and source."""
     d = docs(spark, sf)
     x = build_sparse(d, "doc_id", "text")
-    qs = _questions(spark, sf).select("query_id", T.tokens(F.col("text")).alias("terms"))
-    scores = sparse_scores(x, qs, "query_id", "terms").withColumn("bm25", F.round("bm25", 9))
+    qs = items(spark, sf).select("query_id", T.tokens(F.col("text")).alias("terms"))
+    scores = sparse_scores(x, qs, "query_id", "terms")
     order = Window.partitionBy("query_id").orderBy(F.desc("bm25"), F.desc("row_id"))
     sparse = scores.withColumn("r", F.row_number().over(order)).where("r <= 100")
-    e = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"))
-    dense = dense_topn(e, e.where("row_id < 5").select(F.col("row_id").alias("query_id"), F.col("vec").alias("qv")), "query_id", "qv", 100)
+    e = vectors_of(spark, sf)
+    asked = e.join(qs, F.col("row_id") == F.col("query_id")).select("query_id", F.col("vec").alias("qv"))
+    dense = staged(dense_topn(e, asked, "query_id", "qv", 100).drop("dense_rank"), "dense-top")
     ids = sparse.select("query_id", "row_id").unionByName(dense.select("query_id", "row_id")).distinct()
     rows = d.select(F.col("doc_id").alias("row_id"), "source", T.fingerprint(F.col("text")).alias("fp"))
-    found = ids.join(dense.drop("dense_rank"), ["query_id", "row_id"], "left").join(scores, ["query_id", "row_id"], "left").join(rows, "row_id")
+    found = ids.join(dense, ["query_id", "row_id"], "left").join(scores, ["query_id", "row_id"], "left").join(rows, "row_id")
     score = F.round(F.coalesce("dense", F.lit(0.0)) + 0.1 * F.coalesce("bm25", F.lit(0.0)) / 20, 6)
     best = diversify(found.withColumn("score", score), "query_id", "score", "row_id", "fp", "source", top_k=10)
     return best.select("query_id", "row_id", "source", "score", "rank")
 
 
-def _hits(spark: SparkSession, sf: str) -> DataFrame:
-    d = docs(spark, sf)
-    qs = analyse_queries(_questions(spark, sf, 8), "query_id", "text", CORPUS)
-    vectors = staged(hashing_vectors(d, "doc_id", "text").withColumnRenamed("doc_id", "row_id"), "vectors")
-    qv = hashing_vectors(_questions(spark, sf, 8), "query_id", "text").withColumnRenamed("vec", "qv")
-    return retrieve(prepare_rows(d, "doc_id", "source", "lang", "text"), build_sparse(d, "doc_id", "text"), vectors, qs, qv, CORPUS)
-
-
-@query()
-def hybrid_retrieve(spark: SparkSession, sf: str) -> DataFrame:
-    """The full ranked retrieval for eight queries with hashed vectors and all evidence."""
-    return _hits(spark, sf).select("query_id", "row_id", "paper_id", "rank", "score", "req_hits", F.round("bm25_score", 6).alias("bm25_score"))
-
-
-@query()
-def health(spark: SparkSession, sf: str) -> DataFrame:
-    h = _hits(spark, sf).withColumn("expected_label", F.col("label"))
-    return EV.health_report(h, WORDS)
-
-
-@query()
-def entity_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return EV.entity_hit_rate(_hits(spark, sf))
-
-
-@query()
-def agent_route(spark: SparkSession, sf: str) -> DataFrame:
-    return AG.gap_report(AG.local_chunks(_hits(spark, sf)), keywords=WORDS).drop("query")
-
-
-@query()
-def run_records(spark: SparkSession, sf: str) -> DataFrame:
-    """One record for each query, its hits as an array."""
-    t = hits_table(_hits(spark, sf))
-    return t.select("query_id", "expected_label", "intent", F.size("hits").alias("n_hits"), F.size(EV.build_contexts(F.col("hits"))).alias("n_contexts"))
-
-
 # Questions that reach the rules of the query analysis.
 QUESTIONS = [
     (0, "What is the cost-effectiveness (ICER, QALY) of osimertinib in NSCLC?"), (1, "Pharmacokinetics and AUC of sorafenib in thyroid cancer"),
