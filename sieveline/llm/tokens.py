@@ -19,7 +19,7 @@ import numpy as np
 
 #: Units kept, about 200 bytes each.  A full cache takes no more, and starts anew once most units miss it; it only
 #: saves time.
-CACHE_UNITS = 2_000_000
+CACHE_UNITS = 1_200_000
 #: Longer units are not kept.
 UNIT_CHARS = 48
 #: Units that are encoded as one text, to be parted by their bytes.
