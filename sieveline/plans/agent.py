@@ -75,6 +75,16 @@ def external_queries(queries: DataFrame, question: str) -> DataFrame:
     return queries.withColumn("external_query", terms)
 
 
+def answer_contexts(chunks: DataFrame, most: int = 5) -> DataFrame:
+    """query_id and context of every query: its first local passages under their marks (no outside ones)."""
+    some = chunks.where(F.col("rank") <= most)
+    passage = F.format_string(
+        "[LOCAL %d] (paper: %s, section: %s)\n%s", "rank", F.coalesce("paper_id", F.lit("?")), F.coalesce("section", F.lit("?")), "text"
+    )
+    passages = F.array_sort(F.collect_list(F.struct("rank", passage.alias("p"))))
+    return some.groupBy("query_id").agg(F.array_join(F.transform(passages, lambda x: x["p"]), "\n\n").alias("context"))
+
+
 @dataclass
 class State:
     question: str

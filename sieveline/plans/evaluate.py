@@ -20,6 +20,22 @@ def _label_hit(label: Column, text: Column, terms: dict[str, list[str]]) -> Colu
     return F.coalesce(found, F.lit(False))
 
 
+def expected_label(*said: Column) -> Column:
+    """The label a run's query expects: the first of its names that says one (expected_cancer, cancer_type, cancer)."""
+    return rx.text_or_empty(*said)
+
+
+def hit_body(hit: Column, names: list[str]) -> Column:
+    """A hit's text; else its preview; else what it has of title, snippet, chunk and content, a line each."""
+
+    def said(name: str) -> Column:
+        value = hit[name] if name in names else F.lit(None).cast("string")
+        return F.when(rx.strip(empty(value)) != "", value)
+
+    rest = F.concat_ws("\n", *[said(n) for n in ("title", "snippet", "chunk", "content")])
+    return F.coalesce(said("text"), said("text_preview"), rest)
+
+
 def health_report(hits: DataFrame, terms: dict[str, list[str]], top_k: int = 10) -> DataFrame:
     """One row: queries, evidence at 1 and in all hits, reference hits, duplicate hashes and papers.
 
@@ -59,10 +75,11 @@ def section_counts(hits: DataFrame, top_k: int = 10, top: int = 12) -> DataFrame
 def entity_hit_rate(hits: DataFrame, ks: tuple[int, ...] = (1, 3, 10), by_intent: bool = False) -> DataFrame:
     """For each distinct k (and intent): queries with entities, queries with a hit, entities and those found.
 
-    ``hits`` has query_id, intent, query, rank and text; queries without high-signal entities are left out.
+    ``hits`` has query_id, intent, query, rank and text; queries without entities (the evaluation's loose ones) are
+    left out.
     """
     cuts = F.array(*[F.lit(k) for k in sorted(set(ks))])
-    rows = hits.withColumn("ents", X.highsignal_entities(F.col("query"))).where(F.size("ents") > 0)
+    rows = hits.withColumn("ents", X.loose_entities(F.col("query"))).where(F.size("ents") > 0)
     rows = rows.select("query_id", "intent", "rank", "text", F.explode("ents").alias("ent"))
     rows = rows.withColumn("has", X.entity_in_text(F.col("ent"), F.col("text")))
     rows = rows.select("query_id", "intent", "ent", "rank", "has", F.explode(cuts).alias("k"))
@@ -80,14 +97,15 @@ def entity_hit_rate(hits: DataFrame, ks: tuple[int, ...] = (1, 3, 10), by_intent
 
 
 def entity_coverage(hits: DataFrame, top_k: int = 10) -> DataFrame:
-    """For each query the share of its entities found in its hits; queries without entities have 0."""
+    """For each query the share of its entities found in its hits, the lowest first; queries without entities have 0."""
     texts = hits.where(F.col("rank") <= top_k).groupBy("query_id", "intent", "query").agg(
         F.array_join(F.collect_list("text"), "\n").alias("blob")
     )
-    ents = X.highsignal_entities(F.col("query"))
+    ents = X.loose_entities(F.col("query"))
     found = F.filter(ents, lambda e: X.entity_in_text(e, F.col("blob")))
     share = F.when(F.size(ents) > 0, F.size(found) / F.size(ents).cast("double")).otherwise(0.0)
-    return texts.select("query_id", "intent", "query", share.alias("coverage"), found.alias("found"))
+    out = texts.select("query_id", "intent", "query", share.alias("coverage"), found.alias("found"))
+    return out.orderBy("coverage", "query_id")
 
 
 def needs_of(question: Column) -> dict[str, Column]:

@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 from sieveline.operators.dedupe import diversify
 from sieveline.operators.numbering import running_total
-from sieveline.plans.queries import QUERIES, SQL
+from sieveline.plans.catalog import QUERIES, SQL
 from sieveline.sources.io import MissingColumns, read_jsonl_counted, require_columns
 
 SF = "/root/testdata/sf0.001"
