@@ -1,9 +1,11 @@
 """Lexical retrieval packing: windows of related documents by a sharded BM25 index.
 
-Documents are dealt into shards of a bounded number of text bytes by a hash of their key.  Each shard builds an
-inverted index over its documents.  A window starts with a seed document; the index returns the unused documents
-nearest to it, best first, which fill the window.  The document that does not fit whole is cut; its rest seeds the
-next window.  Windows are thus full but for the last one of each shard.
+Documents are dealt into shards of a bounded number of text bytes by likeness: by the lowest hash of their long words.
+Two documents share it with the chance that a long word of either is one of both, so related documents mostly meet in
+a shard however many shards there are; a word's documents that do not fit into one shard fill several.  Each shard
+builds an inverted index over its documents.  A window starts with a seed document; the index returns the unused
+documents nearest to it, best first, which fill the window.  The document that does not fit whole is cut; its rest
+seeds the next window.  Windows are thus full but for the last one of each shard.
 """
 
 from __future__ import annotations
@@ -13,14 +15,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from sieveline.llm.tokens import worker_encoder
+from sieveline.session import staged, tasks_for
 
 WINDOW = 2048
 #: Text bytes in a shard: its index and ids are held in memory by one task.
 SHARD_BYTES = 4 << 20
+#: Stored bytes for each task: some shards.
+TASK_BYTES = 16 << 20
+#: Words of so many bytes and more tell what a text is about.
+LONG_WORD = 8
 K1, B = 1.5, 0.75
 PIECE_SCHEMA = (
     "doc_id {key}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, seed_id {key}"
@@ -116,6 +126,13 @@ def _neighbours(score: np.ndarray, used: np.ndarray) -> Iterator[int]:
     yield from free[np.argsort(-found, kind="stable")].tolist()
 
 
+def likeness(text: Column) -> Column:
+    """The lowest hash of a text's long words; of all its words where none is long."""
+    words = F.split(text, " ")
+    long = F.transform(words, lambda w: F.when(F.octet_length(w) >= LONG_WORD, F.xxhash64(w)))
+    return F.coalesce(F.array_min(long), F.array_min(F.transform(words, lambda w: F.xxhash64(w))))
+
+
 def pack_documents(
     df: DataFrame,
     path: str,
@@ -130,19 +147,16 @@ def pack_documents(
 
     A document's ids are those of its whole text and ``end_id``; a null or empty text is the end id alone.  Rows that
     share a key are packed as documents of their own.  Ties in score go to the lower key.  An empty table gives no
-    rows; extra columns are not read.  Padding is below one window for each shard.
+    rows; extra columns are not read.  Padding is below one window for each shard.  The pieces are computed once.
     """
     slim = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    total = slim.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    # The text's hash deals out rows that share a key.
-    where = F.pmod(F.xxhash64(F.col("doc_id"), F.substring("text", 1, 64)), F.lit(shards))
-    dealt = slim.withColumn("shard", where)
-    kind = slim.schema["doc_id"].dataType.simpleString()
-
-    def pack(table: pa.Table) -> pa.Table:
-        keys, bodies = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
-        shard = table.column("shard")[0].as_py()
+    dealt = slim.withColumns({"_like": likeness(F.col("text")), "_row": F.xxhash64("doc_id", "text")})
+    # The rows of one word spread over tasks by their own hashes.
+    dealt = dealt.repartitionByRange(tasks_for(slim, TASK_BYTES), "_like", "_row").sortWithinPartitions("_like", "_row")
+    schema = PIECE_SCHEMA.format(key=slim.schema["doc_id"].dataType.simpleString())
+    kind = _parse_datatype_string(schema)
+
+    def pack(keys: list, bodies: list[str], shard: int, out: pa.Schema) -> pa.RecordBatch:
         order = sorted(range(len(keys)), key=lambda i: (keys[i] is not None, keys[i], bodies[i]))
         keys, bodies = [keys[i] for i in order], [bodies[i] for i in order]
         docs, units = worker_encoder(path, spaced).unit_ids(bodies)
@@ -150,17 +164,33 @@ def pack_documents(
         ids = [b"".join([units[u] for u in d.tolist()]) + end for d in docs]
         pieces = fill_windows(ShardIndex(docs, len(units)), [len(x) // 4 for x in ids], window)
         d, s, n, q, o, f = (list(x) for x in zip(*pieces, strict=True))
-        return pa.table(
-            {
-                "doc_id": pa.array([keys[i] for i in d], table.schema.field("doc_id").type),
-                "start": pa.array(s, pa.int64()),
-                "length": pa.array(n, pa.int64()),
-                "ids_crc32": pa.array([zlib.crc32(ids[i][4 * a : 4 * (a + m)]) for i, a, m in zip(d, s, n, strict=True)], pa.int64()),
-                "doc_tokens": pa.array([len(ids[i]) // 4 for i in d], pa.int64()),
-                "sequence_id": pa.array([(shard << 32) + x for x in q], pa.int64()),
-                "offset": pa.array(o, pa.int64()),
-                "seed_id": pa.array([keys[i] for i in f], table.schema.field("doc_id").type),
-            }
-        )
-
-    return dealt.groupBy("shard").applyInArrow(pack, PIECE_SCHEMA.format(key=kind))
+        columns = {
+            "doc_id": [keys[i] for i in d],
+            "start": s,
+            "length": n,
+            "ids_crc32": [zlib.crc32(ids[i][4 * a : 4 * (a + m)]) for i, a, m in zip(d, s, n, strict=True)],
+            "doc_tokens": [len(ids[i]) // 4 for i in d],
+            "sequence_id": [(shard << 22) + x for x in q],
+            "offset": o,
+            "seed_id": [keys[i] for i in f],
+        }
+        return pa.RecordBatch.from_arrays([pa.array(columns[x.name], x.type) for x in out], schema=out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = to_arrow_schema(kind)
+        shard = TaskContext.get().partitionId() << 20
+        keys: list = []
+        bodies: list[str] = []
+        size = 0
+        for batch in batches:
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bodies and size + len(t) + 16 > shard_bytes:
+                    yield pack(keys, bodies, shard, out)
+                    keys, bodies, size, shard = [], [], 0, shard + 1
+                keys.append(k)
+                bodies.append(t)
+                size += len(t) + 16
+        if bodies:
+            yield pack(keys, bodies, shard, out)
+
+    return staged(dealt.select("doc_id", "text").mapInArrow(run, schema), "packed")
