@@ -10,14 +10,16 @@ hash of its run's words (its span):
 * several, all with the same span: all of their windows do;
 * several with different spans: the windows of these runs are compared one by one, by 128 bits of hash.
 
-The index is a list of immutable runs, each a Parquet table sorted by anchor.  A batch is added as a new run; when there
-are too many they are merged into one.  ``remove_repeats`` makes an index of its own on each call and groups all its
-runs; nothing joins a new batch with the runs of an index kept from before.
+The index is a list of immutable runs, each a Parquet table in buckets by anchor and sorted in them, so that runs meet
+by merge joins without a shuffle.  Texts come in batches.  ``add`` merge-joins a batch's anchors with each run for what
+the index knew of them, writes them as a run of their own, and merges all runs into one when there are too many.
+``remove_repeats`` sends its table through an index in batches and reads the repeated anchors off the merged run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,12 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.arrow import map_batches, texts, values
 from sieveline.llm.hashing import mix, powers, window_hashes, word_hashes
-from sieveline.session import staged, table_path
+from sieveline.session import delete_path, staged, table_path, tasks_for
 
 WINDOW, GRAM = 35, 8
-MAX_RUNS = 4
+MAX_RUNS = 2
+#: Stored bytes of texts for each bucket of a run.
+BUCKET_BYTES = 64 << 20
 _BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 _INVERSE = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
 RUN_SCHEMA = "g long, n long, low long, apart long"
@@ -112,30 +116,46 @@ def anchor_table(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     return map_batches(keyed, make, f"g long, span long, k {kind}, x long, first int, last int")
 
 
-def _merge(rows: DataFrame) -> DataFrame:
-    """Runs' rows put together by anchor."""
-    high = F.expr("low ^ apart")
-    merged = rows.groupBy("g").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max(high).alias("high"))
-    return merged.select("g", "n", "low", F.expr("low ^ high").alias("apart"))
+def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two runs put together by anchor: a merge join, as both are sorted by it."""
+    x, y = a.alias("x"), b.alias("y")
+    both = x.join(y, F.col("x.g") == F.col("y.g"), "full_outer")
+    low = F.least("x.low", "y.low")  # the other where one is null
+    high = F.greatest(F.expr("x.low ^ x.apart"), F.expr("y.low ^ y.apart"))
+    n = F.coalesce("x.n", F.lit(0)) + F.coalesce("y.n", F.lit(0))
+    return both.select(F.coalesce("x.g", "y.g").alias("g"), n.alias("n"), low.alias("low"), high.bitwiseXOR(low).alias("apart"))
 
 
 class FingerprintIndex:
     """Sorted immutable runs of anchors in the shared folder; ``apart`` is 0 where all spans are equal."""
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, max_runs: int = MAX_RUNS) -> None:
-        self.spark, self.window, self.max_runs = spark, window, max_runs
-        self.runs: list[str] = []
+    def __init__(self, spark: SparkSession, window: int = WINDOW, max_runs: int = MAX_RUNS, buckets: int | None = None) -> None:
+        self.spark, self.window, self.max_runs, self.buckets = spark, window, max_runs, buckets
+        self.runs: list[tuple[str, str]] = []
 
     def _write(self, rows: DataFrame) -> None:
+        """A new run: one sorted file for each bucket."""
         path = table_path(self.spark, "fingerprints")
-        rows.sortWithinPartitions("g").write.option("compression", "zstd").parquet(path)
-        self.runs.append(path)
-
-    def _rows(self) -> DataFrame:
-        return self.spark.read.schema(RUN_SCHEMA).parquet(*self.runs)
-
-    def append(self, df: DataFrame, key: str = "doc_id", text: str = "text") -> None:
-        """Add a batch of texts as a run; runs beyond ``max_runs`` are compacted into one."""
+        name = "run_" + path.rsplit("-", 1)[1]
+        dealt = rows.repartition(self.buckets, "g").sortWithinPartitions("g")
+        writer = dealt.write.format("parquet").bucketBy(self.buckets, "g").sortBy("g")
+        writer.option("path", path).option("compression", "zstd").saveAsTable(name)
+        self.runs.append((name, path))
+
+    def _drop(self, runs: list[tuple[str, str]]) -> None:
+        for name, path in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete_path(self.spark, path)
+
+    def _joined(self) -> DataFrame:
+        if not self.runs:
+            return self.spark.createDataFrame([], RUN_SCHEMA)
+        return reduce(_merged, [self.spark.table(name) for name, _ in self.runs])
+
+    def add(self, df: DataFrame, key: str = "doc_id", text: str = "text") -> None:
+        """Add a batch of texts as a run; runs beyond ``max_runs`` are merged into one."""
+        if self.buckets is None:
+            self.buckets = tasks_for(df, BUCKET_BYTES)
         found = anchor_table(_keyed(df, key, text), self.window)
         counted = found.groupBy("g").agg(
             F.count(F.lit(1)).alias("n"), F.min("span").alias("low"), F.max("span").alias("high")
@@ -144,27 +164,41 @@ class FingerprintIndex:
         if len(self.runs) > self.max_runs:
             self.compact()
 
+    def known(self, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """What the index has of a batch that is not in it yet: k, x, first, last and same for the runs of windows
+        whose anchor stands in the index; ``same`` tells that all its places there have the very words of this one.
+
+        Where it is false the windows differ in part, and have to be compared with those of the texts themselves.
+        """
+        found = anchor_table(_keyed(df, key, text), self.window)
+        met = found.join(self._joined(), "g")
+        same = (F.col("apart") == 0) & (F.col("span") == F.col("low"))
+        return met.select("k", "x", "first", "last", same.alias("same"))
+
     def compact(self) -> None:
         """Merge all runs into one, then drop the old ones."""
-        old = list(self.runs)
-        merged = _merge(self._rows())
+        if len(self.runs) > 1:
+            old, merged = list(self.runs), self._joined()
+            self._write(merged)
+            self.runs = self.runs[-1:]
+            self._drop(old)
+
+    def close(self) -> None:
+        """Delete all runs."""
+        self._drop(self.runs)
         self.runs = []
-        self._write(merged)
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for path in old:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
 
     def repeated(self) -> DataFrame:
         """g and mixed for the anchors that occur more than once in all runs."""
-        return _merge(self._rows()).where("n > 1").select("g", (F.col("apart") != 0).alias("mixed"))
+        return self._joined().where("n > 1").select("g", (F.col("apart") != 0).alias("mixed"))
 
 
 def repeated_runs(keyed: DataFrame, index: FingerprintIndex) -> DataFrame:
     """k, x and runs (first, last, mixed) of the texts that hold repeated anchors."""
     shared = staged(index.repeated(), "repeated-anchors")
     found = anchor_table(keyed, index.window).drop("span").join(shared, "g")
-    return found.groupBy("k", "x").agg(F.collect_list(F.struct("first", "last", "mixed")).alias("runs"))
+    # Repeated rows have the same runs: a set holds them once.
+    return found.groupBy("k", "x").agg(F.collect_set(F.struct("first", "last", "mixed")).alias("runs"))
 
 
 def _mixed_windows(keyed: DataFrame, runs: DataFrame, window: int) -> DataFrame:
@@ -211,7 +245,7 @@ def _with_runs(keyed: DataFrame, runs: DataFrame, how: str) -> DataFrame:
 
 
 def remove_repeats(
-    df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, batches: int = 2
+    df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, batches: int = 4
 ) -> DataFrame:
     """doc_id, n_words, n_removed, text (kept words, joined by one space) and spans (removed word ranges) of all rows.
 
@@ -225,11 +259,15 @@ def remove_repeats(
     keyed = _keyed(df, key, text)
     index = FingerprintIndex(spark, window)
     for part in range(batches):
-        index.append(keyed.where(F.pmod("x", F.lit(batches)) == part), "k", "t")
+        index.add(keyed.where(F.pmod(F.coalesce("x", F.lit(0)), F.lit(batches)) == part), "k", "t")
+    index.compact()
     runs = staged(repeated_runs(keyed, index), "repeated-runs")
+    index.close()
     windows = _mixed_windows(keyed, runs, window)
+    # A table of its own, so that Spark can split a hot window's places in the join.
     twice = windows.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    hit = windows.join(twice, ["h", "h2"]).groupBy("k", "x").agg(F.collect_list("at").alias("single"))
+    twice = staged(twice, "repeated-windows")
+    hit = windows.join(twice, ["h", "h2"]).groupBy("k", "x").agg(F.collect_set("at").alias("single"))
     whole = runs.select("k", "x", F.filter("runs", lambda r: ~r["mixed"]).alias("whole"))
     both = whole.join(
         hit.select(F.col("k").alias("hk"), F.col("x").alias("hx"), "single"),
