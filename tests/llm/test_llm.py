@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import html
-import json
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -494,14 +493,39 @@ def test_repeats(spark, docs, odd):
     assert remove_repeats(odd.where("false")).count() == 0
 
 
-def test_index_compaction(spark, docs):
+def test_index_in_batches(spark, docs):
+    """An index that got its texts in batches, with merges between, knows what one over all of them knows."""
     df = spark.createDataFrame(docs, "doc_id long, text string")
     many, one = FingerprintIndex(spark, max_runs=2), FingerprintIndex(spark)
     for part in range(5):
-        many.append(df.where(f"doc_id % 5 = {part}"))
-    one.append(df)
-    assert len(many.runs) <= 2
-    assert sorted(map(tuple, many.repeated().collect())) == sorted(map(tuple, one.repeated().collect()))
+        many.add(df.where(f"doc_id % 5 = {part}"))
+        assert len(many.runs) <= 2
+    one.add(df)
+    want = sorted(map(tuple, one.repeated().collect()))
+    assert want and sorted(map(tuple, many.repeated().collect())) == want
+    many.compact()
+    assert len(many.runs) == 1 and sorted(map(tuple, many.repeated().collect())) == want
+    # Runs meet without a shuffle.
+    assert "Exchange" not in many.repeated()._jdf.queryExecution().executedPlan().toString()
+    many.close()
+    one.close()
+
+
+def test_index_knows_a_new_batch(spark):
+    passage = [f"p{i}" for i in range(60)]
+    old = [(1, " ".join(["a", "b", *passage, "c"])), (2, " ".join(f"z{i}" for i in range(50)))]
+    new = [(7, " ".join(["x", *passage, "y"])), (8, " ".join(f"n{i}" for i in range(50))), (9, None), (10, old[1][1])]
+    schema = "doc_id long, text string"
+    index = FingerprintIndex(spark)
+    assert index.known(spark.createDataFrame(new, schema)).count() == 0
+    for row in old:
+        index.add(spark.createDataFrame([row], schema))
+    met = index.known(spark.createDataFrame(new, schema)).collect()
+    index.close()
+    covered = {k: {w for r in met if r.k == k for w in range(r["first"], r["last"] + 35)} for k in (7, 8, 9, 10)}
+    assert set(range(1, 61)) <= covered[7] and not covered[8] and not covered[9]
+    assert covered[10] == set(range(50)) and all(r.same for r in met if r.k == 10)
+    assert any(r.same for r in met if r.k == 7)
 
 
 def test_packing(spark, odd, docs):
@@ -530,14 +554,72 @@ def test_packing(spark, odd, docs):
             at += r.length
         assert at <= 2048
         padding += 2048 - at
-    assert by_doc.keys() == ids.keys() and padding < 2048 * len({q >> 32 for q in by_seq})
+    assert by_doc.keys() == ids.keys() and padding < 2048 * len({q >> 22 for q in by_seq})
     assert pack_documents(odd, tokenizer_path("word_bpe_49k.json"), 1).select("doc_id").distinct().count() == len({i for i, _ in ODD})
     assert pack_documents(odd.where("false"), tokenizer_path("word_bpe_49k.json"), 1).count() == 0
 
 
+@pytest.mark.parametrize("shard_bytes", [1 << 30, 40_000, 8_000])
+def test_related_documents_share_windows(spark, shard_bytes):
+    """Documents of a subject meet in windows, however many shards there are."""
+    rng = np.random.default_rng(11)
+    common = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(400):
+        subject = [f"subject{i % 40}term{j}" for j in range(30)]
+        rows.append((i, " ".join(rng.choice(subject, 60)) + " " + " ".join(rng.choice(common, 60))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = pack_documents(df, tokenizer_path("word_bpe_49k.json"), 1, window=2048, shard_bytes=shard_bytes).collect()
+    by_seq, shares = defaultdict(set), set()
+    for r in got:
+        by_seq[r.sequence_id].add(r.doc_id)
+        shares.add(r.sequence_id >> 22)
+    met = {d for own in by_seq.values() for d in own for o in own if o != d and o % 40 == d % 40}
+    assert len(met) > 0.7 * len(rows), (len(met), len(shares))
+    assert shard_bytes > 8_000 or len(shares) > 30
+
+
+def test_neighbours_are_those_of_plain_bm25():
+    """Scores and the filling of windows against plain versions, ties included."""
+    import math
+
+    from sieveline.llm.packing import B, K1, ShardIndex, fill_windows
+
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 40, rng.integers(0, 30)) for _ in range(60)]
+    docs += [docs[3], docs[3], docs[10]]
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    df = Counter(t for d in docs for t in set(d.tolist()))
+    index = ShardIndex(docs, 40)
+
+    def plain(query, doc):
+        tf = Counter(doc.tolist())
+        idf = {t: math.log((n - df[t] + 0.5) / (df[t] + 0.5)) for t in set(query.tolist())}
+        return sum(i * tf[t] * (K1 + 1) / (tf[t] + K1 * (1 - B + B * len(doc) / mean)) for t, i in idf.items() if df[t] > 1 and i > 0)
+
+    for q, query in enumerate(docs):
+        assert np.allclose(index.scores(q), [plain(query, d) for d in docs])
+    lengths = [len(d) + 1 for d in docs]
+    pieces = fill_windows(index, lengths, 64)
+    seen = set()
+    for sequence in range(pieces[-1][3] + 1):
+        own = [p for p in pieces if p[3] == sequence]
+        seed = own[0][0]
+        assert all(p[5] == seed for p in own) and sum(p[2] for p in own) == 64 or sequence == pieces[-1][3]
+        if own[0][1] == 0 and sequence:
+            assert seed == min(set(range(n)) - seen)
+        seen.add(seed)
+        scores = index.scores(seed)
+        for p in own[1:]:
+            assert p[0] == min(set(range(n)) - seen, key=lambda i: (-scores[i], i))
+            seen.add(p[0])
+    assert seen == set(range(n)) and sum(p[2] for p in pieces) == sum(lengths)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
+    assert [n for n, _ in P.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "decontamination", "packing"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {0: docs.count()}
     for k, (_, stage) in enumerate(P.STAGES[:-1], 1):
@@ -550,4 +632,35 @@ def test_pipeline(spark):
     assert kept[0] > kept[1] >= kept[2] >= kept[3] >= kept[4] > 0
     packed = P.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == docs.count()
-    assert json.dumps([n for n, _ in P.STAGES])
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Each stage by itself on nulls, empty and very long texts, repeated rows and ties."""
+    import corpus_pipeline as P
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    prose = {i: " ".join(f"word{i}x{j}" for j in range(120)) for i in range(6)}
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("text").first().text
+    rows = [(1, None), (2, ""), (3, prose[0]), (4, prose[0] + " tail"), (5, prose[1]), (5, prose[1]), (5, prose[2]), (None, prose[3])]
+    rows += [(6, "a b\nc d\ne f\ng h"), (7, "a b\nc d\ne f\nx y"), (8, LONG), (9, f"{prose[4]} {bench} {prose[5]}"), (10, "short")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], schema)
+    stages = dict(P.STAGES)
+
+    def after(name):
+        got = stages[name](spark, docs, SF)
+        assert got.schema == docs.schema or [f.dataType for f in got.schema] == [f.dataType for f in docs.schema]
+        return Counter((r.doc_id, r.text) for r in got.collect())
+
+    base = Counter(rows)
+    good = after("quality_rules")
+    assert good == Counter({r: n for r, n in base.items() if len(words(r[1])) >= 50 and r[1] != LONG})
+    lines = after("line_dedup")
+    assert lines == (base - Counter([(7, rows[9][1])])) + Counter([(7, "x y")])
+    near = after("near_dedup")
+    assert near == base - Counter([(4, rows[3][1])])
+    clean = after("decontamination")
+    assert clean == base - Counter([(9, rows[11][1])])
+    packed = stages["packing"](spark, docs, SF)
+    assert Counter(r.doc_id for r in packed.where("start = 0").collect()) == Counter(i for i, _ in rows)
+    for name in stages:
+        assert stages[name](spark, docs.where("false"), SF).count() == 0
