@@ -97,10 +97,3 @@ def first_family(col: Column, families: dict[str, list[str]], default: str) -> C
 def entity_in_text(entity: Column, text: Column) -> Column:
     """Whether the entity stands in the text between word borders, whatever its case."""
     return F.regexp_like(empty(text), F.concat(F.lit(r"(?iuU)\b\Q"), entity, F.lit(r"\E\b")))
-
-
-def external_query(ents: Column, label_term: Column, question: Column, stop: list[str]) -> Column:
-    """Search terms for an outside source: two entities and the label's term, else six content words."""
-    parts = F.filter(F.concat(F.slice(ents, 1, 2), F.array(label_term)), lambda x: F.coalesce(x, F.lit("")) != "")
-    words = F.filter(rx.find_all(F.lower(empty(question)), r"\w+"), lambda w: ~w.isin(stop))
-    return F.when(F.size(parts) > 0, F.array_join(parts, " AND ")).otherwise(F.array_join(F.slice(words, 1, 6), " "))

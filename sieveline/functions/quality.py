@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline import lexicon as L
 from sieveline import rx
-from sieveline.functions.text import empty
+from sieveline.functions.text import audit_fingerprint, empty
 
 
 def _length(t: Column) -> Column:
@@ -106,33 +106,42 @@ def pass2_reason(col: Column) -> Column:
 
 
 def ref_score(col: Column, min_words: int = 40) -> Column:
-    """Weighted signs of a reference list, not below 0."""
-    t = empty(col)
-    low = F.lower(t)
+    """Weighted signs of a reference list, not below 0.
+
+    A pattern is tried only where a substring that each of its matches holds is there.
+    """
+    seen = rx.let(empty(col), lambda t: F.struct(t.alias("t"), F.lower(t).alias("low"), rx.has(t, r"\d").alias("digit")))
+    return rx.let(seen, lambda s: _ref_score(s["t"], s["low"], s["digit"], min_words))
+
 
+def _ref_score(t: Column, low: Column, digit: Column, min_words: int) -> Column:
     def plus(condition: Column, points: int) -> Column:
         return F.when(condition, points).otherwise(0)
 
-    years = rx.count(t, L.YEAR)
-    authors = rx.count(t, r"\b[A-Z][a-z]+(?:['-][A-Z][a-z]+)?\s+[A-Z]{1,3}\b")
-    authors = authors + rx.count(t, r"\b(?:van|von|de|del|di|da)\s+[A-Z][a-z]+\b", "i")
-    journal = reduce(lambda a, b: a | b, [F.contains(low, F.lit(j)) for j in L.JOURNAL_HINTS])
+    def some(guard: Column, pattern: str, flags: str = "") -> Column:
+        return F.when(guard, rx.count(t, pattern, flags)).otherwise(0)
+
+    def holds(part: str) -> Column:
+        return F.contains(low, F.lit(part))
+
+    dash = F.contains(t, F.lit("-")) | F.contains(t, F.lit("–"))
+    years = some(digit, L.YEAR)
+    authors = rx.count(t, L.REF_AUTHOR) + rx.count(t, L.REF_AUTHOR_PREFIX, "i")
+    journal = reduce(lambda a, b: a | b, [holds(j) for j in L.JOURNAL_HINTS])
     sentences = rx.literal_count(t, ". ")
     parts = [
-        plus(rx.has(t, r"\bdoi\b|10\.\d{4,9}/\S+", "i"), 4),
-        plus(rx.has(t, r"\bhttps?://|www\.", "i"), 2),
-        plus(rx.has(t, r"\bpmc\d+\b", "i"), 3),
-        plus(rx.count(t, r"\bpmid\b|\b\d{7,8}\b", "i") >= 2, 2),
-        plus(years >= 3, 2),
-        plus(years >= 6, 1),
-        plus(rx.has(t, r"\bet\s+al\.?\b", "i"), 2),
+        plus((holds("doi") | (digit & holds("10."))) & rx.has(t, L.REF_DOI, "i"), 4),
+        plus((holds("http") | holds("www.")) & rx.has(t, L.REF_LINK, "i"), 2),
+        plus(digit & holds("pmc") & rx.has(t, L.REF_PMC, "i"), 3),
+        plus(some(digit | holds("pmid"), L.REF_PMID, "i") >= 2, 2),
+        rx.let(years, lambda n: plus(n >= 3, 2) + plus(n >= 6, 1)),
+        plus(holds("et") & holds("al") & rx.has(t, L.REF_ET_AL, "i"), 2),
         plus(journal, 2),
-        plus(authors >= 8, 2),
-        plus(authors >= 14, 1),
-        plus(rx.count(t, r"(^|\n)\s*(\[\d{1,3}\]|\d{1,3}[.)])\s+") >= 2, 2),
-        plus(rx.count(t, r"\[\d{1,3}\]") >= 4, 2),
-        plus(rx.has(t, r"\b\d{1,3}\s*\(\s*\d{1,3}\s*\)\s*:\s*\d{1,4}\s*[-–]\s*\d{1,4}\b"), 2),
-        plus(rx.count(t, r"\b\d{1,4}\s*[-–]\s*\d{1,4}\b") >= 4, 2),
+        rx.let(authors, lambda n: plus(n >= 8, 2) + plus(n >= 14, 1)),
+        plus(some(digit, L.REF_NUMBERED_LINE) >= 2, 2),
+        plus(some(digit & holds("["), L.REF_BRACKET) >= 4, 2),
+        plus(digit & holds("(") & dash & rx.has(t, L.REF_ISSUE), 2),
+        plus(some(digit & dash, L.REF_RANGE) >= 4, 2),
         plus((rx.literal_count(t, "\n") >= 3) & (sentences <= 2), 1),
         plus((rx.literal_count(t, ",") >= 10) & (sentences <= 3), 1),
         plus(rx.literal_count(t, ";") >= 5, 1),
@@ -165,6 +174,23 @@ def very_bad(col: Column) -> Column:
     return (merged_word_score(col) >= 10) | (space_ratio(col) < 0.070)
 
 
+def worst_by_fingerprint(df: DataFrame, row_id: str, text: str, n: int = 25, examples: int = 5) -> DataFrame:
+    """The ``n`` worst distinct texts: fp, highest score, lowest space ratio, n_dupes and the lowest ids of each.
+
+    Groups hold a count and ``examples`` ids: ids are ranked for the worst groups only.
+    """
+    rows = df.select(
+        F.col(row_id).alias("row_id"), audit_fingerprint(F.col(text)).alias("fp"), merged_word_score(F.col(text)).alias("score"),
+        space_ratio(F.col(text)).alias("sr"),
+    )
+    groups = rows.groupBy("fp").agg(F.max("score").alias("score"), F.min("sr").alias("sr"), F.count(F.lit(1)).alias("n_dupes"))
+    worst = groups.orderBy(F.desc("score"), "sr", "fp").limit(n)
+    own = rows.select("fp", "row_id").join(F.broadcast(worst.select("fp")), "fp")  # n rows
+    first = own.withColumn("at", F.row_number().over(Window.partitionBy("fp").orderBy("row_id"))).where(F.col("at") <= examples)
+    listed = first.groupBy("fp").agg(F.array_sort(F.collect_list("row_id")).alias("examples"))
+    return worst.join(listed, "fp").orderBy(F.desc("score"), "sr", "fp")
+
+
 def tokenish_count(col: Column) -> Column:
     return rx.count(empty(col), r"\w+|[^\w\s]")
 

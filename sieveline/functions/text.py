@@ -210,14 +210,14 @@ def prefix_fingerprint(col: Column, chars: int = 400) -> Column:
 
 
 def strip_header(col: Column) -> Column:
-    """The body after a micro header and its rule."""
+    """The body after a micro header and its rule; a text without a rule loses the header's marks only."""
 
     def cut(t: Column) -> Column:
         ruled = F.when(F.contains(t, F.lit("\n---\n")), F.regexp_replace(t, r"(?s)^.*?\n---\n", ""))
         inline = F.when(F.contains(t, F.lit(" --- ")), F.regexp_replace(t, r"(?s)^.*? --- ", ""))
         return rx.strip(F.coalesce(ruled, inline, t))
 
-    return rx.let(rx.sub(empty(col), r"^\s*\[Cancer[^\]]*\]\s*(?:Key idea:[^\n]*\n?)?", "", "i"), cut)
+    return rx.let(rx.strip(rx.sub(rx.strip(empty(col)), r"^\[Cancer:.*?\]\s*Key idea:\s*", "", "is")), cut)
 
 
 def body_text(col: Column) -> Column:
@@ -284,46 +284,6 @@ def split_sentences(col: Column) -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
-def drop_tableish_lines(col: Column) -> Column:
-    def keep(line: Column) -> Column:
-        s = rx.strip(line)
-        table = rx.has(s, L.TABLEISH_LINE, "i") | rx.has(line, L.PIPE_TABLE) | rx.has(line, L.REPEATED_SEPARATOR)
-        return (s == "") | ~(table | rx.has(line, L.MANY_NUMBERS))
-
-    lines = F.filter(F.split(empty(col), r"\r\n|\r|\n", -1), keep)
-    lines = F.transform(lines, lambda x: F.when(rx.strip(x) == "", F.lit("")).otherwise(x))
-    return rx.strip(rx.sub(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
-
-
-def first_sentence(col: Column, max_words: int = 25) -> Column:
-    """The first of the first twelve sentences that reads as one: the key idea."""
-
-    def good(s: Column) -> Column:
-        long = rx.count(s, r"\S+") >= 6
-        soup = rx.has(rx.squeeze(s, ""), r"^[\d\W_]+$")
-        return long & ~rx.has(s, L.BAD_KEY_SENTENCE, "i") & ~soup & ~s.rlike(r"^[0-9(\[{]")
-
-    def choose(t: Column) -> Column:
-        return F.coalesce(F.get(F.filter(F.slice(split_sentences(t), 1, 12), good), F.lit(0)), rx.strip(t))
-
-    def cap(chosen: Column) -> Column:
-        words = rx.find_all(chosen, r"\S+")
-        cut = F.concat(F.array_join(F.slice(words, 1, max_words), " "), F.lit("…"))
-        return F.when(F.size(words) > max_words, cut).otherwise(chosen)
-
-    ruled = F.regexp_replace(empty(col), r"(?s)^.*?---\n", "")
-    t = F.when(F.contains(empty(col), F.lit("---\n")), rx.strip(ruled)).otherwise(empty(col))
-    return rx.let(rx.let(t, choose), cap)
-
-
-def micro_header(label: Column, section: Column, paper: Column, raw: Column) -> Column:
-    return F.format_string("[Cancer: %s | Section: %s | Paper: %s]\nKey idea: %s\n---\n", label, section, paper, first_sentence(raw))
-
-
-def mid_thought(col: Column) -> Column:
-    return rx.strip(empty(col)).rlike("^[,;:)\\]]|^[a-z]|^’|^\"")
-
-
 def tag_injection(label: Column, section: Column, text: Column, on: bool = False) -> Column:
     if not on:
         return empty(text)

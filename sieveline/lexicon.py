@@ -177,6 +177,18 @@ JOURNAL_HINTS = [
     "crit care", "cancer res", "cancer sci", "j clin oncol", "j clin pathol", "nature", "cell", "proc natl acad sci", "plos",
     "oncology",
 ]
+# Signs of a reference list; their points stand beside them.
+REF_DOI = r"\bdoi\b|10\.\d{4,9}/\S+"
+REF_LINK = r"\bhttps?://|www\."
+REF_PMC = r"\bpmc\d+\b"
+REF_PMID = r"\bpmid\b|\b\d{7,8}\b"
+REF_ET_AL = r"\bet\s+al\.?\b"
+REF_AUTHOR = r"\b[A-Z][a-z]+(?:['-][A-Z][a-z]+)?\s+[A-Z]{1,3}\b"
+REF_AUTHOR_PREFIX = r"\b(?:van|von|de|del|di|da)\s+[A-Z][a-z]+\b"
+REF_NUMBERED_LINE = r"(^|\n)\s*(\[\d{1,3}\]|\d{1,3}[.)])\s+"
+REF_BRACKET = r"\[\d{1,3}\]"
+REF_ISSUE = r"\b\d{1,3}\s*\(\s*\d{1,3}\s*\)\s*:\s*\d{1,4}\s*[-–]\s*\d{1,4}\b"
+REF_RANGE = r"\b\d{1,4}\s*[-–]\s*\d{1,4}\b"
 STOPWORD_GLUE = r"\b[a-z]{5,}(?:of|the|and|in|to|for|with|by)[a-z]{3,}\b"
 TABLEISH_LINE = r"(?i)^\s*(table\s*\d+|fig(?:ure)?\s*\d+)\b"
 MANY_NUMBERS = r"(?:\d[\d\.\-\(\)%/]*\s+){8,}"

@@ -128,3 +128,15 @@ def misses_sample(df: DataFrame, label: str, text: str, row_id: str, n: int = 80
     order = Window.partitionBy(label).orderBy(row_id)
     missed = df.where("NOT is_highconf").withColumn("n", F.row_number().over(order)).where(F.col("n") <= n)
     return missed.select(row_id, label, "conf_reason", F.substring(text, 1, chars).alias("snippet"))
+
+
+def seeded_sample(df: DataFrame, row_id: str, n: int, seed: int = 7, by: str | None = None) -> DataFrame:
+    """``n`` rows (of each value of ``by``) that a seed picks: those with the lowest digests of seed and id.
+
+    The same rows at any partitioning, unlike a random order; a sampling report, so the limit is its purpose.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row_id).cast("string")).cast("binary"))
+    if by is None:
+        return df.withColumn("_d", digest).orderBy("_d", row_id).limit(n).drop("_d")
+    order = Window.partitionBy(by).orderBy(digest, row_id)
+    return df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sieveline.plans import ranked
+from sieveline.plans import chunked, cleaned, ranked
 from sieveline.plans.queries import QUERIES, SQL, hybrid_minimum
 
-__all__ = ["QUERIES", "SQL", "hybrid_minimum", "ranked"]
+__all__ = ["QUERIES", "SQL", "chunked", "cleaned", "hybrid_minimum", "ranked"]

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Protocol
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sieveline import lexicon as L
 from sieveline import lexicon_answers as A
@@ -237,6 +242,31 @@ def rag_records(hits_table: DataFrame) -> DataFrame:
     return hits_table.select(F.col("query").alias("question"), texts.alias("contexts"), F.lit("").alias("answer"))
 
 
+class Judge(Protocol):
+    """A model that rates an answer: metric name to value between 0 and 1."""
+
+    def rate(self, question: str, answer: str, contexts: list[str]) -> dict[str, float]: ...
+
+
+def judge_answers(df: DataFrame, judge: Judge, metrics: list[str], question: str = "question", answer: str = "answer",
+                  contexts: str = "contexts") -> DataFrame:
+    """``df`` with the judge's metrics as columns; a metric that the judge does not give is null.
+
+    The judge is sent to the tasks and asked once for each row.  Rows without contexts are not judged.
+    """
+    schema = StructType([*df.schema.fields, *[StructField(m, DoubleType()) for m in metrics]])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rated = [
+                judge.rate(q or "", a or "", list(c)) if c is not None and len(c) else {}
+                for q, a, c in zip(part[question], part[answer], part[contexts], strict=True)
+            ]
+            yield part.assign(**{m: pd.Series([r.get(m) for r in rated], index=part.index, dtype=float) for m in metrics})
+
+    return df.mapInPandas(run, schema)
+
+
 def metric_bands(df: DataFrame, metrics: list[str]) -> DataFrame:
     """Mean and colour band of each metric: high from 0.7, mid from 0.5."""
     rows = df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("m"))

@@ -263,3 +263,20 @@ def metric_bands(spark: SparkSession, sf: str) -> DataFrame:
 def loose_entities(spark: SparkSession, sf: str) -> DataFrame:
     """The evaluation's entities of all questions."""
     return questions(spark, sf).select(F.col("query_id").alias("item_id"), F.array_join(X.loose_entities(F.col("text")), ",").alias("ents"))
+
+
+_QUESTIONS_SQL = f"(SELECT item_id AS query_id, text || ' ' || {_turn_sql('item_id', _ASKED)} AS query FROM benchmark)"
+
+
+@query(f"WITH q AS (SELECT query_id, {_fold('query')} AS qa FROM {_QUESTIONS_SQL}), i AS (SELECT query_id, qa, {q_cases(L.INTENTS, 'general', _tests('qa'))} AS intent, {q_cases(L.LABEL_PATTERNS, '', _tests('qa'))} AS label FROM q) SELECT query_id, intent, label, regexp_matches(qa, '(?i){L.CITATION_QUERY}') AS citations FROM i")
+def intent_routing(spark: SparkSession, sf: str) -> DataFrame:
+    """Intent, label and citation wish of all questions."""
+    t = F.col("text")
+    return questions(spark, sf).select("query_id", X.infer_intent(t).alias("intent"), X.detect_label(t).alias("label"), X.wants_citations(t, X.infer_intent(t)).alias("citations"))
+
+
+@query(f"SELECT query_id, array_to_string({_list(_ALL, 'qa')}, ',') AS ents, array_to_string({_list(_HI, 'qa')}, ',') AS hi FROM (SELECT query_id, {_fold('query')} AS qa FROM {_QUESTIONS_SQL})")
+def entity_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities and high-signal entities of all questions."""
+    t = F.col("text")
+    return questions(spark, sf).select("query_id", F.array_join(X.entities(t), ",").alias("ents"), F.array_join(X.highsignal_entities(t), ",").alias("hi"))

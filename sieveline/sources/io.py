@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from sieveline.session import staged
+
 RAW_CSV = StructType([StructField("0", StringType()), StructField("a", StringType())])
 
 
@@ -23,18 +25,13 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType = RAW_CSV, columns: list[str] | None = None) -> DataFrame:
-    """A CSV table with header, quoted fields and line ends in fields; Latin-1 where the file is not UTF-8.
+    """A CSV table with header, quoted fields and line ends in fields; Latin-1 where a line's bytes are not UTF-8.
 
-    The encoding is told by the replacement character that UTF-8 decoding leaves for bytes it cannot read.
+    A replacement character that the file itself holds is a character like any other.
     """
-
-    def load(encoding: str) -> DataFrame:
-        reader = spark.read.schema(schema).option("header", True).option("multiLine", True)
-        return reader.option("quote", '"').option("escape", '"').option("encoding", encoding).csv(path)
-
-    found = load("UTF-8")
-    bad = found.where(" OR ".join(f"contains(`{f.name}`, '�')" for f in schema if isinstance(f.dataType, StringType)))
-    found = load("ISO-8859-1") if not bad.limit(1).isEmpty() else found
+    utf8 = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).isEmpty()
+    reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+    found = reader.option("encoding", "UTF-8" if utf8 else "ISO-8859-1").csv(path)
     return found.select(*[f"`{c}`" for c in columns]) if columns else found
 
 
@@ -44,19 +41,19 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def read_jsonl_counted(spark: SparkSession, path: str, schema: StructType, text: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The readable rows with text, and one row of counts: lines, bad_json, empty_text, kept."""
+    """The readable rows with text, and one row of counts: lines, bad_json, empty_text, kept.  The file is read once."""
     wide = StructType([*schema.fields, StructField("_bad", StringType())])
-    raw = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     lines = spark.read.text(path).where(F.trim("value") != "")
-    checked = lines.select(F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    read = staged(lines.select(F.from_json("value", wide, options).alias("r")).select("r.*"), "jsonl")
     body = F.trim(coalesce_text(*[F.col(c) for c in text]))
-    counts = checked.agg(
+    counts = read.agg(
         F.count(F.lit(1)).alias("lines"),
-        F.sum(F.col("_bad").isNotNull().cast("long")).alias("bad_json"),
-        F.sum((F.col("_bad").isNull() & (body == "")).cast("long")).alias("empty_text"),
-        F.sum((F.col("_bad").isNull() & (body != "")).cast("long")).alias("kept"),
+        F.count("_bad").alias("bad_json"),
+        F.coalesce(F.sum((F.col("_bad").isNull() & (body == "")).cast("long")), F.lit(0)).alias("empty_text"),
+        F.coalesce(F.sum((F.col("_bad").isNull() & (body != "")).cast("long")), F.lit(0)).alias("kept"),
     )
-    return raw.where(F.col("_bad").isNull() & (body != "")).drop("_bad"), counts
+    return read.where(F.col("_bad").isNull() & (body != "")).drop("_bad"), counts
 
 
 def coalesce_text(*cols: Column) -> Column:

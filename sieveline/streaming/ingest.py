@@ -12,13 +12,17 @@ from sieveline.functions import text as T
 def ingest_stream(df: DataFrame, text: str, time: str, min_chars: int = 200, late: str = "1 day") -> DataFrame:
     """Rows with clean_text and fingerprint; short ones, junk and repeats within ``late`` of each other are dropped.
 
-    Works on streams and on tables alike.  The state holds one key for each fingerprint of the last ``late``.
+    Works on streams and on tables alike.  Junk is told from the repaired text.  A stream keeps the row that comes
+    first, and its state holds one key for each fingerprint of the last ``late``; of a table the earliest row stays,
+    of equally early ones the one with the lowest text.
     """
     cleaned = df.withColumn("clean_text", T.basic_clean(F.col(text))).where(F.length("clean_text") >= min_chars)
-    cleaned = cleaned.where(Q.pass1_reason(F.col("clean_text")).isNull())
+    cleaned = cleaned.where(Q.pass1_reason(T.fix_spacing_v1(F.col("clean_text"))).isNull())
     cleaned = cleaned.withColumn("fingerprint", T.fingerprint(F.col("clean_text")))
     if not df.isStreaming:
-        return cleaned.dropDuplicates(["fingerprint"])
+        row = F.struct(*[F.col(c) for c in cleaned.columns if c != "fingerprint"])
+        first = F.min_by(row, F.struct(F.col(time), F.col(text))).alias("row")
+        return cleaned.groupBy("fingerprint").agg(first).select("row.*", "fingerprint")
     return cleaned.withWatermark(time, late).dropDuplicatesWithinWatermark(["fingerprint"])
 
 

@@ -33,7 +33,11 @@ def plain(df: pd.DataFrame) -> list[tuple]:
     return sorted((tuple(one(x) for x in row) for row in df[sorted(df.columns)].astype(object).itertuples(index=False)), key=str)
 
 
-@pytest.mark.parametrize("name", ["fingerprint_dedupe", "pass2_drop", "ref_scores", "bm25_topn", "hybrid_minimum", "label_cascade", "must_gate"])
+@pytest.mark.parametrize(
+    "name",
+    ["fingerprint_dedupe", "pass2_drop", "ref_scores", "bm25_topn", "dense_top", "hybrid_retrieve", "label_cascade", "must_gate", "chunk_pack",
+     "deep_clean", "fix_spacing_v2", "score_contexts", "answer_gate", "ingest", "csv_round_trip", "jsonl_counters", "text_forms"],
+)
 def test_against_sql(spark, duck, name):
     assert plain(QUERIES[name](spark, SF).toPandas()) == plain(duck.sql(SQL[name]).df())
 
