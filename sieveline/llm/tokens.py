@@ -13,7 +13,6 @@ import re
 import struct
 import sys
 import types
-from itertools import chain
 
 import numpy as np
 
@@ -66,6 +65,19 @@ def worker_encoder(path: str, spaced: bool) -> UnitEncoder:
     return kept[name]
 
 
+class Numbers(dict):
+    """Consecutive numbers for what is looked up; ``new`` lists what was not known before."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self.new.append(unit)
+        self[unit] = n = len(self)
+        return n
+
+
 class UnitEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -83,6 +95,7 @@ class UnitEncoder:
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.spaced = spaced
         self.cache: dict[str, bytes] = {}
+        self.numbers, self.unit_list = Numbers(), []
         names = self.tokenizer.get_vocab(with_added_tokens=False)
         # A byte-level token has a character for each of its bytes; a word's last token has its mark besides.
         self.bytes_of = np.zeros(max(names.values()) + 1, dtype=np.int64)
@@ -196,19 +209,22 @@ class UnitEncoder:
         return out
 
     def unit_ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[bytes]]:
-        """The texts as numbers of units, and each unit's ids; only for vocabularies that drop white space."""
-        cut = [self._units(t, self._kinds_of(t)) for t in texts]
-        units = list(dict.fromkeys(chain.from_iterable(cut)))
-        number = dict(zip(units, range(len(units)), strict=True))
-        empty = number.get("", -1)
+        """The texts as numbers of units, and each unit's ids; only for vocabularies that drop white space.
+
+        Numbers are kept over calls, up to CACHE_UNITS; the list of ids grows with them, so it is the encoder's own.
+        """
+        if len(self.numbers) > CACHE_UNITS:
+            self.numbers, self.unit_list = Numbers(), []
+        number = self.numbers.__getitem__
+        empty = number("")
         docs = []
-        for own in cut:
-            ids = np.fromiter(map(number.__getitem__, own), dtype=np.int64, count=len(own))
+        for t in texts:
+            own = self._units(t, self._kinds_of(t))
+            ids = np.fromiter(map(number, own), dtype=np.int64, count=len(own))
             docs.append(ids[ids != empty])
+        new = self.numbers.new
         found: dict[str, bytes] = {}
-        self._learn([u for u in units if u not in self.cache], found)
-        known = self.cache.get
-        ids = [x if (x := known(u)) is not None else found[u] for u in units]
-        if len(self.cache) <= CACHE_UNITS:
-            self.cache.update((u, x) for u, x in found.items() if len(u) <= UNIT_CHARS)
-        return docs, ids
+        self._learn(new, found)
+        self.unit_list += [found[u] for u in new]
+        new.clear()
+        return docs, self.unit_list
