@@ -179,7 +179,7 @@ def made_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     digit = F.pmod(F.xxhash64("id"), F.lit(10)).cast("string")
     names = ["token", "secret", "api_key", "password", "auth_token", "client_secret", "access_key", "TOKEN"]
     harmless = ["commit", "checksum", "sha256", "digest", "revision", "build", "trace", "integrity"]
-    words = ["module", "release", "the", "order", "account", "report", "page", "index", "thation", "customer", "onlyth"]
+    words = ["module", "release", "the", "order", "account", "report", "page", "index", "website", "customer", "notebook"]
 
     def pick(of: list[str], salt: int) -> Column:
         return F.get(F.array(*[F.lit(x) for x in of]), F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(of))).cast("int"))
