@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sieveline import lexicon as L
 from sieveline.operators.chunk import chunk_papers
 from sieveline.plans.queries import STRIP, docs, query
+from sieveline.session import staged
 
 _C = L.Chunking()
 # Headings, tables and a section to be left out, put around texts by turns.
@@ -128,7 +129,7 @@ def chunk_pack(spark: SparkSession, sf: str) -> DataFrame:
 b AS (SELECT round(avg(n), 9) AS mean_tokens, quantile_cont(n, 0.5)::DOUBLE AS p50, quantile_cont(n, 0.9)::DOUBLE AS p90, quantile_cont(n, 0.99)::DOUBLE AS p99 FROM chunks) SELECT * FROM a, b""")
 def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks for each document and their sizes."""
-    c = _chunks(spark, sf).select("paper_id", "n_tokens")
+    c = staged(_chunks(spark, sf).select("paper_id", "n_tokens"), "chunk-sizes")
     p = [F.percentile("n_tokens", q).alias(a) for q, a in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99"))]
     per = c.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t")).agg(
         F.count(F.lit(1)).alias("papers"), F.sum("n").alias("chunks"), F.round(F.avg("n"), 9).alias("mean_chunks"), F.max("n").alias("most_chunks")
