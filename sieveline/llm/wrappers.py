@@ -679,7 +679,9 @@ def _make_path() -> Callable[[pa.RecordBatch], dict]:
         for s, w in zip(values(batch, "stream").to_pylist(), values(batch, "wrapper").to_pylist(), strict=True):
             if len(read) > 64:
                 read.clear()
-            wrapper = read.setdefault(w, json.loads(w))
+            wrapper = read.get(w)
+            if wrapper is None:
+                wrapper = read[w] = json.loads(w)
             tokens = s.split(" ") if s else []
             path = read_through(wrapper, tokens)
             number = stream_id(tokens)
