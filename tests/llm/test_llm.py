@@ -92,6 +92,17 @@ def test_secrets(spark, odd):
     assert scan_secrets(odd.where("false"), rows).count() == 0
 
 
+def test_sharding_of_documents(spark, docs):
+    """All documents against the plain generator: shards, grown shards and gapless slots in the order of the key."""
+    got = sorted(entries.op2_sharding(spark, SF).collect(), key=lambda r: r.doc_id)
+    assert [(r.doc_id, r.shard, r.grown_shard) for r in got] == [(i, jump(i, 16), jump(i, 17)) for i, _ in sorted(docs)]
+    assert all(r.grown_shard in (r.shard, 16) for r in got) and any(r.grown_shard == 16 for r in got)
+    at = Counter()
+    for r in got:
+        assert r.slot == at[r.shard] and r.law == "key"
+        at[r.shard] += 1
+
+
 def test_planted_secrets(spark, docs):
     """Secrets of forms that no finding was made for, planted in documents, against look-alikes: recall and precision."""
     rng = np.random.default_rng(23)
