@@ -1,6 +1,7 @@
 """Lexical retrieval packing: windows of related documents by a sharded BM25 index.
 
-Documents are dealt into shards of a bounded number of text bytes by likeness: by the lowest hash of their long words.
+Documents are dealt into shards of a bounded number of text bytes by likeness: by the lowest hash of their long words,
+hashed once more, as long texts have low ones and would all lie in the first shards.
 Two documents share it with the chance that a long word of either is one of both, so related documents mostly meet in
 a shard however many shards there are; a word's documents that do not fit into one shard fill several.  Each shard
 builds an inverted index over its documents.  A window starts with a seed document; the index returns the unused
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ WINDOW = 2048
 SHARD_BYTES = 4 << 20
 #: Stored bytes for each task: some shards.
 TASK_BYTES = 16 << 20
+#: Rows of a batch that Python holds at a time, beside the shard that it gathers.
+SLICE_ROWS = 256
 #: Words of so many bytes and more tell what a text is about.
 LONG_WORD = 8
 K1, B = 1.5, 0.75
@@ -127,10 +131,10 @@ def _neighbours(score: np.ndarray, used: np.ndarray) -> Iterator[int]:
 
 
 def likeness(text: Column) -> Column:
-    """The lowest hash of a text's long words; of all its words where none is long."""
+    """The lowest hash of a text's long words, hashed; of all its words where none is long."""
     words = F.split(text, " ")
     long = F.transform(words, lambda w: F.when(F.octet_length(w) >= LONG_WORD, F.xxhash64(w)))
-    return F.coalesce(F.array_min(long), F.array_min(F.transform(words, lambda w: F.xxhash64(w))))
+    return F.xxhash64(F.coalesce(F.array_min(long), F.array_min(F.transform(words, lambda w: F.xxhash64(w)))))
 
 
 def pack_documents(
@@ -161,7 +165,7 @@ def pack_documents(
         keys, bodies = [keys[i] for i in order], [bodies[i] for i in order]
         docs, units = worker_encoder(path, spaced).unit_ids(bodies)
         end = np.asarray([end_id], dtype="<u4").tobytes()
-        ids = [b"".join([units[u] for u in d.tolist()]) + end for d in docs]
+        ids = [b"".join(map(units.__getitem__, d.tolist())) + end for d in docs]
         pieces = fill_windows(ShardIndex(docs, len(units)), [len(x) // 4 for x in ids], window)
         d, s, n, q, o, f = (list(x) for x in zip(*pieces, strict=True))
         columns = {
@@ -183,13 +187,15 @@ def pack_documents(
         bodies: list[str] = []
         size = 0
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if bodies and size + len(t) + 16 > shard_bytes:
-                    yield pack(keys, bodies, shard, out)
-                    keys, bodies, size, shard = [], [], 0, shard + 1
-                keys.append(k)
-                bodies.append(t)
-                size += len(t) + 16
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                key, text = batch.slice(at, SLICE_ROWS).columns
+                for k, t, n in zip(key.to_pylist(), text.to_pylist(), pc.binary_length(text).to_pylist(), strict=True):
+                    if bodies and size + n + 16 > shard_bytes:
+                        yield pack(keys, bodies, shard, out)
+                        keys, bodies, size, shard = [], [], 0, shard + 1
+                    keys.append(k)
+                    bodies.append(t)
+                    size += n + 16
         if bodies:
             yield pack(keys, bodies, shard, out)
 

@@ -626,6 +626,31 @@ def test_related_documents_share_windows(spark, shard_bytes):
     assert shard_bytes > 8_000 or len(shares) > 30
 
 
+def test_shards_do_not_gather_long_texts(spark):
+    """The texts that stand first by likeness are not the long ones: tasks hold equal bytes, not equal rows only."""
+    from sieveline.llm.packing import likeness
+
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"longword{w}" for w in rng.integers(0, 100_000, rng.choice([20, 1000], p=[0.9, 0.1])))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = [r.n for r in df.orderBy(likeness(df.text)).selectExpr("octet_length(text) AS n").collect()]
+    assert sum(sizes[:500]) < 0.35 * sum(sizes)
+
+
+def test_unit_numbers_are_those_of_a_call():
+    """An encoder that served other texts gives no more units than its texts have, and keeps a bounded number."""
+    from sieveline.llm import tokens
+
+    encoder = UnitEncoder(tokenizer_path("word_bpe_49k.json"), False)
+    texts = ["one two  two three", "", "three <b> ÉTÉ, one."]
+    first = encoder.unit_ids(texts)
+    encoder.unit_ids([" ".join(f"x{i}" for i in range(tokens.CACHE_UNITS + 1000))])
+    docs, ids = encoder.unit_ids(texts)
+    assert [d.tolist() for d in docs] == [d.tolist() for d in first[0]] and ids == first[1]
+    assert len(ids) < 12 and len(encoder.cache) <= tokens.CACHE_UNITS
+    assert [b"".join(ids[u] for u in d.tolist()) for d in docs] == library_ids("word_bpe_49k.json", texts)
+
+
 def test_neighbours_are_those_of_plain_bm25():
     """Scores and the filling of windows against plain versions, ties included."""
     import math
