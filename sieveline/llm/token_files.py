@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,15 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 128 << 10
 #: Text bytes for each file, so that the number of tasks follows the input.
 FILE_BYTES = 64 << 20
+#: Text bytes that are encoded at a time: a unit is looked up once in each.
+BLOCK_BYTES = 8 << 20
+
+
+def _blocks(texts: pa.Array) -> list[tuple[int, int]]:
+    """First row and rows of parts of BLOCK_BYTES each, and up to one text more."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // BLOCK_BYTES)) + 1).tolist(), len(ends)]
+    return [(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
 
 
 def tokenize_table(
@@ -45,14 +55,14 @@ def tokenize_table(
         def encode(batch: pa.RecordBatch) -> list[dict]:
             keys, made = values(batch, key), []
             column = values(batch, text)
-            for at in range(0, batch.num_rows, 512):
-                found = [x + end for x in encoder.encode([t or "" for t in column.slice(at, 512).to_pylist()])]
+            for at, rows in _blocks(column):
+                found = [x + end for x in encoder.encode([t or "" for t in column.slice(at, rows).to_pylist()])]
                 counts = np.asarray([len(x) // 4 for x in found], dtype=np.int64)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 flat = pa.array(np.frombuffer(b"".join(found), dtype="<i4"))
                 made.append(
                     {
-                        "doc_id": keys.slice(at, 512),
+                        "doc_id": keys.slice(at, rows),
                         "n_tokens": counts,
                         "ids": pa.ListArray.from_arrays(pa.array(offsets), flat),
                     }

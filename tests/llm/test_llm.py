@@ -405,6 +405,38 @@ def test_encoder_on_white_space(name, spaced):
     assert UnitEncoder(tokenizer_path(name), spaced).encode(texts) == library_ids(name, texts)
 
 
+@pytest.mark.parametrize(("name", "spaced"), VOCABULARIES)
+def test_units_are_looked_up_once_a_block(name, spaced):
+    """However often a unit stands in a block of texts, it costs one look into the cache."""
+    asked = []
+
+    class Watched(dict):
+        def get(self, unit):
+            asked.append(unit)
+            return super().get(unit)
+
+    encoder = UnitEncoder(tokenizer_path(name), spaced)
+    encoder.cache = Watched()
+    texts = ["the cat and the dog, the cat. The dog's day " * 50] * 20
+    assert encoder.encode(texts) == library_ids(name, texts)
+    assert 0 < len(asked) == len(set(asked)) < 20
+
+
+def test_blocks_follow_bytes():
+    """Token files encode parts of bounded bytes that hold each row once, in order."""
+    import pyarrow as pa
+
+    from sieveline.llm.token_files import BLOCK_BYTES, _blocks
+
+    rng = np.random.default_rng(2)
+    for sizes in ([], [0], [3 * BLOCK_BYTES], [5] * 3000, rng.integers(0, BLOCK_BYTES, 40).tolist()):
+        texts = pa.array(["x" * n or None for n in sizes], pa.string())
+        found = _blocks(texts)
+        assert [i for a, n in found for i in range(a, a + n)] == list(range(len(sizes)))
+        assert all(sum(sizes[a + 1 : a + n]) <= BLOCK_BYTES for a, n in found)
+        assert len(found) <= 2 + sum(sizes) // BLOCK_BYTES
+
+
 def local_files(path):
     from pathlib import Path
 
