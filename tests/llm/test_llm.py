@@ -659,7 +659,7 @@ def test_related_documents_share_windows(spark, shard_bytes):
 
 
 def test_shards_do_not_gather_long_texts(spark):
-    """The texts that stand first by likeness are not the long ones: tasks hold equal bytes, not equal rows only."""
+    """The texts that stand first by likeness are not the long ones, which would all lie in the first tasks."""
     from sieveline.llm.packing import likeness
 
     rng = np.random.default_rng(3)
@@ -669,6 +669,16 @@ def test_shards_do_not_gather_long_texts(spark):
     assert sum(sizes[:500]) < 0.35 * sum(sizes)
 
 
+def test_signs_and_letters_beyond_ascii_are_encoded_together():
+    """Without spaces, Latin-1 words, capitals and signs cost no text of their own in the library."""
+    encoder = UnitEncoder(tokenizer_path("word_bpe_49k.json"), False)
+    alone, plain = [], encoder._encode
+    encoder._encode = lambda units: alone.extend(units) or plain(units)
+    texts = ["Größe ÜBER été, naïve && a&&& b.%% (c) 'tis don't x_y.", "ÀÉ ß; ÿ! WE'LL 1.5,2 #*$"]
+    assert encoder.encode(texts) == library_ids("word_bpe_49k.json", texts)
+    assert [u for u in alone if u] == []
+
+
 def test_unit_numbers_are_those_of_a_call():
     """An encoder that served other texts gives no more units than its texts have, and keeps a bounded number."""
     from sieveline.llm import tokens
