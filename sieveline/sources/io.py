@@ -10,6 +10,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from sieveline.session import staged
 
+#: What a field without a value is known by while it is read; no file needs to hold it.
+NULL_SIGN = "\x01null\x01"
 RAW_CSV = StructType([StructField("0", StringType()), StructField("a", StringType())])
 
 
@@ -27,10 +29,13 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, schema: StructType = RAW_CSV, columns: list[str] | None = None) -> DataFrame:
     """A CSV table with header, quoted fields and line ends in fields; Latin-1 where a line's bytes are not UTF-8.
 
-    A replacement character that the file itself holds is a character like any other.
+    A replacement character that the file itself holds is a character like any other.  An empty field is null without
+    quotes and the empty text within them.
     """
     utf8 = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).isEmpty()
     reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+    # Spark reads a quoted empty field as null too, unless null has a sign of its own.
+    reader = reader.option("nullValue", NULL_SIGN)
     found = reader.option("encoding", "UTF-8" if utf8 else "ISO-8859-1").csv(path)
     return found.select(*[f"`{c}`" for c in columns]) if columns else found
 
@@ -62,7 +67,9 @@ def coalesce_text(*cols: Column) -> Column:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """Every text as it is: Spark's writer would cut white space and control signs at both ends of a field."""
+    writer = df.write.option("header", True).option("quote", '"').option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
