@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import duckdb
-import pytest
+from pyspark.sql import functions as F
 
 from sieveline.functions import text as T
 from sieveline.plans.catalog import QUERIES, SQL
@@ -29,3 +29,13 @@ DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 def test_csv_keeps_white_space_and_nulls(spark, tmp_path):
     compare(spark, tmp_path, "csv_round_trip", "documents", documents(TEXTS), DOCUMENTS)
+
+
+def test_blank_bodies_under_a_header(spark, tmp_path):
+    compare(spark, tmp_path, "text_forms", "documents", documents([t for t in TEXTS if t is not None]), DOCUMENTS)
+
+
+def test_header_alone_has_an_empty_body(spark):
+    rows = ["[Cancer: a | Section: b | Paper: 1]\nKey idea: it\n---\n \n", "[Cancer: a] Key idea: it", "plain\n---", "a\n---\nb", ""]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
+    assert [r.v for r in df.select("i", T.strip_header(F.col("t")).alias("v")).orderBy("i").collect()] == ["", "it", "plain\n---", "b", ""]
