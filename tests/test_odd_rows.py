@@ -39,3 +39,8 @@ def test_header_alone_has_an_empty_body(spark):
     rows = ["[Cancer: a | Section: b | Paper: 1]\nKey idea: it\n---\n \n", "[Cancer: a] Key idea: it", "plain\n---", "a\n---\nb", ""]
     df = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
     assert [r.v for r in df.select("i", T.strip_header(F.col("t")).alias("v")).orderBy("i").collect()] == ["", "it", "plain\n---", "b", ""]
+
+
+def test_labels_at_letters_beyond_ascii(spark, tmp_path):
+    rows = [(0, "über les élans"), (1, "élos caminos"), (2, "queé va"), (3, "mit UND"), (4, "losa dere"), (5, ""), (6, None)]
+    compare(spark, tmp_path, "label_detect", "benchmark", rows, "item_id long, text string")
