@@ -44,3 +44,10 @@ def test_header_alone_has_an_empty_body(spark):
 def test_labels_at_letters_beyond_ascii(spark, tmp_path):
     rows = [(0, "über les élans"), (1, "élos caminos"), (2, "queé va"), (3, "mit UND"), (4, "losa dere"), (5, ""), (6, None)]
     compare(spark, tmp_path, "label_detect", "benchmark", rows, "item_id long, text string")
+
+
+def test_lines_of_digits_and_runs_of_space(spark, tmp_path):
+    # Each of these would take hours, or the square of its length, with a choice of digits or of runs.
+    digits = "\n" + ("1 2 " * 100 + "\n") * 5 + "no digit\n"
+    texts = [digits, digits * 2 + "7\n" * 6 + "end", "a@b.org\n" + "\n" * 3000 + "end page 1 of it", "x" + " " * 9000 + "y@z.org at", "table 1\n" * 7]
+    compare(spark, tmp_path, "deep_clean", "documents", documents(texts), DOCUMENTS)
