@@ -19,19 +19,29 @@ def _sum(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts, F.lit(0))
 
 
+def text_forms(text: Column) -> Column:
+    """What the evidence of a text is read from: in lower case, the same without white space, and with ``/`` and ``-`` as
+    spaces."""
+    raw = empty(text)
+    return F.struct(F.lower(raw).alias("low"), rx.squeeze(F.lower(raw), "").alias("compact"), normalize_for_match(raw).alias("norm"))
+
+
 def entity_bonus(ents: Column, text: Column, r: L.Retrieval = R) -> Column:
-    low = F.lower(empty(text))
+    return entity_bonus_in(ents, F.lower(empty(text)), r)
+
+
+def entity_bonus_in(ents: Column, low: Column, r: L.Retrieval = R) -> Column:
     hits = F.size(F.filter(ents, lambda e: F.contains(low, F.lower(e))))
     return F.when(low == "", 0.0).otherwise(F.least(F.lit(r.entity_bonus_cap), hits * r.entity_bonus_per_hit))
 
 
 def mismatch_penalty(label: Column, text: Column, keywords: dict[str, list[str]] | None = None, r: L.Retrieval = R) -> Column:
     """For a text without the label's keywords and with several of another label's."""
-    words = keywords or L.LABEL_KEYWORDS
-    return rx.let(F.lower(empty(text)), lambda low: _mismatch(label, low, words, r))
+    return rx.let(F.lower(empty(text)), lambda low: mismatch_in(label, low, keywords, r))
 
 
-def _mismatch(label: Column, low: Column, words: dict[str, list[str]], r: L.Retrieval) -> Column:
+def mismatch_in(label: Column, low: Column, keywords: dict[str, list[str]] | None = None, r: L.Retrieval = R) -> Column:
+    words = keywords or L.LABEL_KEYWORDS
     hits = {k: _sum([F.contains(low, F.lit(w)).cast("int") for w in v]) for k, v in words.items()}
     own = reduce(lambda a, kv: F.when(label == kv[0], kv[1]).otherwise(a), hits.items(), F.lit(0))
     best = F.greatest(F.lit(0), F.lit(0), *[F.when(label == k, 0).otherwise(n) for k, n in hits.items()])
@@ -58,11 +68,15 @@ def _terms_in(low: Column, compact: Column, terms: list[str]) -> Column:
 
 def must_mention(label: Column, text: Column, terms: dict | None = None, r: L.Retrieval = R) -> Column:
     """Struct of penalty, reason and req_hits; it penalises and never drops."""
+    return rx.let(text_forms(text), lambda forms: must_mention_in(label, forms, terms, r))
+
+
+def must_mention_in(label: Column, forms: Column, terms: dict | None = None, r: L.Retrieval = R) -> Column:
     spec = terms or L.LABEL_TERMS
     none = F.struct(F.lit(0.0).alias("penalty"), F.lit("no requested label").alias("reason"), F.lit(0).alias("req_hits"))
     out = none
     for name, of in spec.items():
-        counts = F.struct(count_terms(text, of["must"]).alias("req"), count_terms(text, of["anti"]).alias("anti"))
+        counts = F.struct(*[_terms_in(forms["low"], forms["compact"], of[k]).alias(a) for k, a in (("must", "req"), ("anti", "anti"))])
         out = F.when(label == name, rx.let(counts, lambda c: _must(c["req"], c["anti"], r))).otherwise(out)
     return out
 
@@ -120,20 +134,21 @@ def label_gate(label: Column, scores: Column) -> Column:
 
 
 def entity_overlap(ents: Column, text: Column) -> Column:
-    """Share of the entities that the text has, as words or (short ones) without separators."""
-    raw = empty(text)
-    forms = F.struct(
-        normalize_for_match(raw).alias("norm"), rx.squeeze(F.upper(raw), "").alias("up"), rx.squeeze(F.lower(raw), "").alias("low")
-    )
-    return rx.let(forms, lambda s: _overlap(ents, s["norm"], s["up"], s["low"]))
+    """Share of the entities that the text has, as words or (short ones) without separators.
+
+    Both are compared in lower case, letter by letter: ``ss`` is not found in ``ß``, whose capital form has two letters.
+    """
+    return rx.let(text_forms(text), lambda forms: overlap_in(ents, forms))
 
 
-def _overlap(ents: Column, norm: Column, upper: Column, lower: Column) -> Column:
+def overlap_in(ents: Column, forms: Column) -> Column:
     def found(e: Column) -> Column:
-        word = F.regexp_like(norm, F.concat(F.lit(r"(?iuU)\b\Q"), normalize_for_match(e), F.lit(r"\E\b")))
-        up = F.regexp_replace(F.upper(e), r"[\s\-_/]+", "")
-        low = F.regexp_replace(F.lower(e), r"[\s\-_/]+", "")
-        return word | (F.length(up).between(2, 12) & (F.contains(upper, up) | F.contains(lower, low)))
+        # The words are looked for as they are first: few texts have them, and a pattern made for each row is slow.
+        name = normalize_for_match(e)
+        word = F.regexp_like(forms["norm"], F.concat(F.lit(r"(?iuU)\b\Q"), name, F.lit(r"\E\b")))
+        short = F.regexp_replace(F.lower(e), r"[\s\-_/]+", "")
+        compact = F.length(short).between(2, 12) & F.contains(forms["compact"], short)
+        return compact | (F.contains(forms["norm"], name) & word)
 
     n = F.size(ents)
     return F.when(n > 0, F.size(F.filter(ents, found)) / n.cast("double")).otherwise(0.0)
